@@ -8,7 +8,7 @@ import unicodedata
 from pyspark.sql import Column, functions as F
 
 from .chars import LETTER, SPACE, WORD
-from .text import strip
+from .text import bind, strip
 
 UNKNOWN = "UNKNOWN"
 
@@ -43,11 +43,6 @@ def extract_choice(response: Column) -> Column:
     return F.coalesce(F.upper(F.coalesce(*hits)), F.lit(UNKNOWN))
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _unquote(text: Column) -> Column:
     quoted = text.startswith('"') & text.endswith('"')
     inner = F.substring(text, F.lit(2), F.greatest(F.char_length(text) - 2, F.lit(0)))
@@ -68,8 +63,8 @@ def extract_reading(response: Column) -> Column:
     text = strip(F.coalesce(response, F.lit("")))
     prefix = "^(?:" + "|".join(READING_PREFIXES) + ")"
     body = strip(F.regexp_replace(text, F.lit(prefix), F.lit("")))
-    bare = _let(body, lambda b: F.rtrim(_unquote(b), F.lit(READING_TRAILING)))
-    answer = _let(bare, _first_sentence)
+    bare = bind(body, lambda b: F.rtrim(_unquote(b), F.lit(READING_TRAILING)))
+    answer = bind(bare, _first_sentence)
     return F.coalesce(F.nullif(answer, F.lit("")), F.lit(UNKNOWN))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from .chars import CJK, SPACE, WHITESPACE, WORD
 
@@ -44,7 +44,7 @@ def tokenize(col: Column) -> Column:
 def segmenter(cut: Callable[[str], Iterable[str]]) -> Callable[[Column], Column]:
     """T2 hook: wrap ``cut(text) -> words`` as an Arrow function; blank words are dropped."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [w for w in cut(t or "") if w.strip()])
 
@@ -56,14 +56,25 @@ def preprocess(col: Column, stop_words: Iterable[str] = (), tokenizer=tokenize)
     return remove_stop_words(tokenizer(strip(clean_text(col))), stop_words)
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it any number of times in ``body``.
+
+    An expression placed inside an array lambda is otherwise evaluated again for
+    every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """Sliding n-grams as arrays; none if there are fewer than ``n`` tokens."""
-    return F.when(
-        F.size(tokens) >= n,
-        F.transform(
-            F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.slice(tokens, i, n)
-        ),
-    ).otherwise(F.array().cast("array<array<string>>"))
+
+    def slide(t: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(t) - (n - 1))
+        return F.when(F.size(t) >= n, F.transform(starts, lambda i: F.slice(t, i, n))).otherwise(
+            F.array().cast("array<array<string>>")
+        )
+
+    return bind(tokens, slide)
 
 
 def ngram_keys(tokens: Column, n: int, plain: bool = True) -> Column:
@@ -76,17 +87,17 @@ def ngram_keys(tokens: Column, n: int, plain: bool = True) -> Column:
     if n == 1 and plain:
         return tokens
 
-    def piece(i: Column, k: int) -> Column:
-        token = F.get(tokens, i + k)
+    def piece(token: Column) -> Column:
         return token if plain else F.concat(F.length(token).cast("string"), F.lit(":"), token)
 
-    return F.when(
-        F.size(tokens) >= n,
-        F.transform(
-            F.sequence(F.lit(0), F.size(tokens) - n),
-            lambda i: F.concat_ws(_SEP, *[piece(i, k) for k in range(n)]),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+    def slide(t: Column) -> Column:
+        keys = F.transform(
+            F.sequence(F.lit(0), F.size(t) - n),
+            lambda i: F.concat_ws(_SEP, *[piece(F.get(t, i + k)) for k in range(n)]),
+        )
+        return F.when(F.size(t) >= n, keys).otherwise(F.array().cast("array<string>"))
+
+    return bind(tokens, slide)
 
 
 def remove_stop_words(tokens: Column, stop_words: Iterable[str]) -> Column:

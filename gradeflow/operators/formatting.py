@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.text import strip
+from ..functions.text import bind, strip
 from ..registry import formatters
 
 
@@ -133,17 +133,22 @@ def options_to_letters(options: Column) -> Column:
     directly, so the map never has duplicate keys.
     """
     period = len(ALPHABET)
-    size = F.size(options)
-    entries = F.transform(
-        F.sequence(F.lit(0), F.least(size, F.lit(period)) - 1),
-        lambda s: F.struct(
-            F.substring(F.lit(ALPHABET), s + 1, F.lit(1)).alias("key"),
-            F.get(options, s + period * F.floor((size - 1 - s) / period).cast("int")).alias("value"),
-        ),
-    )
-    return F.when(size > 0, F.map_from_entries(entries)).otherwise(
-        F.create_map().cast("map<string,string>")
-    )
+
+    def letters(opts: Column) -> Column:
+        size = F.size(opts)
+        last_round = lambda s: period * F.floor((size - 1 - s) / period).cast("int")
+        entries = F.transform(
+            F.sequence(F.lit(0), F.least(size, F.lit(period)) - 1),
+            lambda s: F.struct(
+                F.substring(F.lit(ALPHABET), s + 1, F.lit(1)).alias("key"),
+                F.get(opts, s + last_round(s)).alias("value"),
+            ),
+        )
+        return F.when(size > 0, F.map_from_entries(entries)).otherwise(
+            F.create_map().cast("map<string,string>")
+        )
+
+    return bind(options, letters)
 
 
 def _leaf_columns(schema: T.StructType, prefix: tuple[str, ...]) -> Iterable[tuple[str, ...]]:

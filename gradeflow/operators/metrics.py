@@ -111,8 +111,8 @@ def distinct_n(
     shuffle, and a group holding most of the corpus is spread over its n-grams.  The
     second step only adds up counts.  A group without any n-gram scores 0.
     """
-    keys = ngram_keys(tokenizer(F.col(text)), n, plain)
-    grams = df.select(*by, F.explode_outer(keys).alias("_gram"))
+    tokens = df.select(*by, tokenizer(F.col(text)).alias("_tokens"))
+    grams = tokens.select(*by, F.explode_outer(ngram_keys(F.col("_tokens"), n, plain)).alias("_gram"))
     if approximate:
         sums = grams.groupBy(*by).agg(
             F.approx_count_distinct("_gram").alias("distinct_ngrams"),

@@ -153,9 +153,8 @@ def merge_spans(report_rows: DataFrame) -> DataFrame:
     form one run if they follow each other.
     """
     place = F.row_number().over(Window.orderBy("goes_last", "pos")) - 1
-    cells = report_rows.select(
-        place.alias("row_no"), F.posexplode("parts").alias("depth", "value")
-    )
+    placed = report_rows.withColumn("row_no", place)
+    cells = placed.select("row_no", F.posexplode("parts").alias("depth", "value"))
     down = Window.partitionBy("depth").orderBy("row_no")
     starts = F.coalesce(F.lag("value").over(down) != F.col("value"), F.lit(True))
     runs = cells.withColumn("_starts", starts.cast("int")).withColumn(

@@ -11,7 +11,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import ngram_keys, tokenize
 
@@ -44,14 +44,17 @@ def _shared(a: list[str], b: list[str], n: int) -> int:
     return (grams(a) & grams(b)).total()
 
 
-@F.pandas_udf("struct<one:long, two:long, lcs:long>")
+OVERLAPS = T.StructType([T.StructField(n, T.LongType()) for n in ("one", "two", "lcs")])
+
+
+@F.pandas_udf(OVERLAPS)
 def _overlaps(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for hyps, refs in batches:
         rows = []
         for hyp, ref in zip(hyps, refs):
             a, b = list(hyp), list(ref)
             rows.append((_shared(a, b, 1), _shared(a, b, 2), lcs_length(a, b)))
-        yield pd.DataFrame(rows, columns=["one", "two", "lcs"])
+        yield pd.DataFrame(rows, columns=OVERLAPS.names)
 
 
 def _prf(name: str, overlap: Column, hyp: Column, ref: Column) -> list[Column]:
