@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from functools import cache
 
 from pyspark.sql import Column, functions as F
 
@@ -12,15 +13,16 @@ from .text import bind, strip
 
 UNKNOWN = "UNKNOWN"
 
-# The answer patterns, tried in this order.
+# The answer patterns, tried in this order, each with the text it cannot
+# match without.
 CHOICE_PATTERNS = (
-    rf"答案[是为]?[:：]?[{SPACE}]*({LETTER})",
-    rf"选择[:：]?[{SPACE}]*({LETTER})",
-    rf"({LETTER})选?项",
-    rf"(?:^|\n)[{SPACE}]*({LETTER})[{SPACE}]*(?:\n|\z)",
-    rf"选项({LETTER})",
-    rf"会选择选项({LETTER})",
-    rf"(?<![{WORD}])({LETTER})(?![{WORD}])",
+    ("答案", rf"答案[是为]?[:：]?[{SPACE}]*({LETTER})"),
+    ("选择", rf"选择[:：]?[{SPACE}]*({LETTER})"),
+    ("项", rf"({LETTER})选?项"),
+    ("", rf"(?:^|\n)[{SPACE}]*({LETTER})[{SPACE}]*(?:\n|\z)"),
+    ("选项", rf"选项({LETTER})"),
+    ("会选择选项", rf"会选择选项({LETTER})"),
+    ("", rf"(?<![{WORD}])({LETTER})(?![{WORD}])"),
 )
 
 # Answer prefixes, in the order they are tried.
@@ -37,10 +39,17 @@ READING_LIMIT = 200
 
 
 def extract_choice(response: Column) -> Column:
-    """The letter found by the first pattern that matches, upper-cased, else UNKNOWN."""
+    """The letter found by the first pattern that matches, upper-cased, else UNKNOWN.
+
+    A byte search for the pattern's fixed text spares most texts most patterns.
+    """
     text = F.coalesce(response, F.lit(""))
-    hits = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in CHOICE_PATTERNS]
-    return F.coalesce(F.upper(F.coalesce(*hits)), F.lit(UNKNOWN))
+
+    def hit(needle: str, pattern: str) -> Column:
+        found = F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+        return F.when(text.contains(needle), found) if needle else found
+
+    return F.coalesce(F.upper(F.coalesce(*[hit(*p) for p in CHOICE_PATTERNS])), F.lit(UNKNOWN))
 
 
 def _unquote(text: Column) -> Column:
@@ -76,6 +85,7 @@ def extract_answer(response: Column, task_type: Column | str = "choice") -> Colu
     )
 
 
+@cache
 def _decimal_digits() -> tuple[str, str]:
     """All Unicode decimal digits and the ASCII digit each one stands for."""
     chars = [c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"]
@@ -102,10 +112,14 @@ def extract_content(response: Column) -> Column:
     A JSON object counts as an envelope if it has an ``error`` or ``choices`` key.
     An envelope with an error, or without content, gives the empty string.
     """
+
+    def unpack(parsed: Column) -> Column:
+        error, choices = parsed["error"], parsed["choices"]
+        failed = error.isNotNull() & ~error.isin("", "false", "0", "{}", "[]")
+        content = F.coalesce(F.get(choices, F.lit(0))["message"]["content"], F.lit(""))
+        is_envelope = error.isNotNull() | choices.isNotNull()
+        return F.when(is_envelope, F.when(failed, F.lit("")).otherwise(content)).otherwise(response)
+
     parsed = F.from_json(response, RESPONSE_SCHEMA, {"mode": "PERMISSIVE"})
-    error, choices = parsed["error"], parsed["choices"]
-    failed = error.isNotNull() & ~error.isin("", "false", "0", "{}", "[]")
-    content = F.coalesce(F.get(choices, F.lit(0))["message"]["content"], F.lit(""))
-    envelope = F.when(failed, F.lit("")).otherwise(content)
-    looks_json = response.startswith("{") & (error.isNotNull() | choices.isNotNull())
-    return F.when(response.isNull(), F.lit("")).when(looks_json, envelope).otherwise(response)
+    opened = F.when(response.startswith("{"), bind(parsed, unpack)).otherwise(response)
+    return F.coalesce(opened, F.lit(""))

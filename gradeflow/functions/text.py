@@ -10,7 +10,8 @@ from pyspark.sql import Column, functions as F, types as T
 from .chars import CJK, SPACE, WHITESPACE, WORD
 
 # URL, @handle, or any character that is neither CJK nor ASCII letter.
-NOISE_PATTERN = rf"http[^{SPACE}]+|@[{WORD}]+|[^{CJK}a-zA-Z]"
+LINK_PATTERN = rf"http[^{SPACE}]+|@[{WORD}]+"
+NOISE_PATTERN = rf"{LINK_PATTERN}|[^{CJK}a-zA-Z]"
 
 # A token is a run of ASCII letters or one CJK character.
 TOKEN_PATTERN = rf"[a-zA-Z]+|[{CJK}]"
@@ -52,8 +53,16 @@ def segmenter(cut: Callable[[str], Iterable[str]]) -> Callable[[Column], Column]
 
 
 def preprocess(col: Column, stop_words: Iterable[str] = (), tokenizer=tokenize) -> Column:
-    """Clean, tokenise and drop stop words."""
-    return remove_stop_words(tokenizer(strip(clean_text(col))), stop_words)
+    """Clean, tokenise and drop stop words.
+
+    The default tokeniser skips everything but letters by itself, so for it only URLs
+    and handles have to be blanked beforehand.
+    """
+    if tokenizer is tokenize:
+        clean = F.regexp_replace(col, F.lit(LINK_PATTERN), F.lit(" "))
+    else:
+        clean = strip(clean_text(col))
+    return remove_stop_words(tokenizer(clean), stop_words)
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:

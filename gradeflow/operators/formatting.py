@@ -81,9 +81,11 @@ def format_classification(
         .when(F.coalesce(F.col("_description"), F.lit("")) == "", "description")
     )
     parts = [F.col(f"_part{i}") for i in range(len(id_parts))]
+    # Never null, so that a join on it does not filter by hashing every text once more.
+    question_id = F.coalesce(F.sha2(F.concat(F.col("scene"), *parts), 256), F.lit(""))
     return base.withColumn("scene", scene).select(
         *keep,
-        F.sha2(F.concat(F.col("scene"), *parts), 256).alias("question_id"),
+        question_id.alias("question_id"),
         "scene",
         F.lit(spec.question_text).alias("question_text"),
         _literal_map(spec.options).alias("options"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -10,9 +11,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 log = logging.getLogger(__name__)
 
-# Samples up to this size fit one task's heap; larger ones are cut per bucket.
-TOP_K_ROWS = 100_000
-BUCKET_DIGITS = 4
+# How many rows one task may be given to merge in a top-k.
+SINGLE_TASK_ROWS = 1_000_000
+SPLIT_BYTES = 128 * 1024 * 1024
+LANES = 1000
+
+
+def _merged_rows(df: DataFrame, n: int) -> float:
+    """Rows the last task of ``orderBy().limit(n)`` receives: up to ``n`` from every split.
+
+    Taken from the optimizer's size estimate, so nothing is executed.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return n * max(1.0, size / SPLIT_BYTES)
 
 
 def sample_key(key: Sequence[str], seed: int) -> Column:
@@ -20,57 +31,92 @@ def sample_key(key: Sequence[str], seed: int) -> Column:
 
 
 def sample_n(
-    df: DataFrame, n: int, key: Sequence[str], seed: int = 42, top_k_rows: int = TOP_K_ROWS
+    df: DataFrame,
+    n: int,
+    key: Sequence[str],
+    seed: int = 42,
+    single_task_rows: int = SINGLE_TASK_ROWS,
 ) -> DataFrame:
     """L1: exactly ``min(n, rows)`` rows without replacement; -1 keeps all.
 
     Rows are drawn in the order of a seeded hash of their unique ``key``, so the
-    sample does not depend on partitioning.  A small sample is a top-k.  A large one
-    never meets in one task: see :func:`_sample_by_bucket`.
+    sample does not depend on partitioning.  Where a plain top-k would push too many
+    rows into its last task, :func:`_sample_below_threshold` draws the same sample.
     """
     if n == -1:
         return df
-    if n <= top_k_rows:
+    if _merged_rows(df, n) <= single_task_rows:
         return df.orderBy(sample_key(key, seed), *key).limit(n)
-    return _sample_by_bucket(df, n, key, seed)
+    return _sample_below_threshold(df, n, key, seed)
+
 
+def _cut(share: float) -> str:
+    """The hash below which this share of all rows is expected."""
+    if share >= 1:
+        return "g"  # above every hexadecimal digit
+    return f"{int(max(share, 0.0) * 2**128):032x}"
 
-def _sample_by_bucket(df: DataFrame, n: int, key: Sequence[str], seed: int) -> DataFrame:
-    """The same sample for any ``n``.
 
-    The hash's first digits split the rows into 65,536 even buckets.  Bucket counts
-    (at most that many rows) tell which buckets are in, which are out, and which
-    single bucket is cut; only that one is ordered.
+def _sample_below_threshold(df: DataFrame, n: int, key: Sequence[str], seed: int) -> DataFrame:
+    """The same sample for any ``n`` and any table, without a shuffle of the rows.
+
+    Hashes are uniform, so the n-th smallest is near ``n / rows``.  Counting the rows
+    below a cut on either side of it (two scans of the key columns) proves that the
+    lower part belongs to the sample and that only the narrow band between the cuts, a
+    few times sqrt(n) rows, has to be ordered.
+    """
+    hashed = df.withColumn("_hash", sample_key(key, seed))
+    total = df.count()
+    if n >= total:
+        log.warning("sample of %d rows asked from %d; all are used", n, total)
+        return df
+    slack = 6 * math.sqrt(n) + 16
+    while True:
+        low, high = _cut((n - slack) / total), _cut((n + slack) / total)
+        below, within = hashed.agg(
+            F.count_if(F.col("_hash") < low), F.count_if(F.col("_hash") < high)
+        ).first()
+        if below <= n <= within:
+            break
+        slack *= 4
+    band = hashed.filter((F.col("_hash") >= low) & (F.col("_hash") < high))
+    edge = band.orderBy("_hash", *key).limit(n - below)
+    return hashed.filter(F.col("_hash") < low).unionByName(edge).drop("_hash")
+
+
+def take(
+    df: DataFrame, n: int, order_by: Sequence[str], single_task_rows: int = SINGLE_TASK_ROWS
+) -> DataFrame:
+    """The first ``n`` rows in a stated order (-1 keeps all).
+
+    On a table with very many splits their candidates first meet in a number of lanes,
+    each of which passes on ``n`` rows.
     """
-    bucket = F.substring("_hash", 1, BUCKET_DIGITS)
-    hashed = df.withColumn("_hash", sample_key(key, seed)).withColumn("_bucket", bucket)
-    counts = hashed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(
-        F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0),
-    )
-    room = counts.select(
-        "_bucket", (F.col("_n") <= n - before).alias("_all"), (F.lit(n) - before).alias("_room")
-    ).filter(F.col("_room") > 0)
-    # At most 16 ** BUCKET_DIGITS rows, whatever the size of the data.
-    marked = hashed.join(F.broadcast(room), "_bucket")
-    order = Window.partitionBy("_bucket").orderBy("_hash", *key)
-    cut = (
-        marked.filter(~F.col("_all"))
-        .withColumn("_rank", F.row_number().over(order))
-        .filter(F.col("_rank") <= F.col("_room"))
-    )
-    return marked.filter("_all").select(*df.columns).unionByName(cut.select(*df.columns))
-
-
-def take(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
-    """The first ``n`` rows in a stated order (-1 keeps all)."""
-    return df if n == -1 else df.orderBy(*order_by).limit(n)
-
-
-def head_biased_cap(df: DataFrame, n: int) -> DataFrame:
-    """L2: stop reading once more than ``100 * n`` rows are held; meant before ``sample_n``."""
-    return df if n == -1 else df.limit(100 * n + 1)
+    if n == -1:
+        return df
+    if _merged_rows(df, n) > single_task_rows:
+        lane = Window.partitionBy("_lane").orderBy(*order_by)
+        ranked = df.withColumn("_lane", F.spark_partition_id() % LANES)
+        ranked = ranked.withColumn("_rank", F.row_number().over(lane))
+        df = ranked.filter(F.col("_rank") <= n).drop("_lane", "_rank")
+    return df.orderBy(*order_by).limit(n)
+
+
+def head_biased_cap(
+    df: DataFrame, n: int, file: str = "_source_file", row: str = "_row_index"
+) -> DataFrame:
+    """L2: the rows held when reading stops a file beyond ``100 * n`` rows in total.
+
+    Files count in name order; every later file still gives its first row.  Row counts
+    per file decide, so the cap is a filter on each row's own number.
+    """
+    if n == -1:
+        return df
+    counts = df.groupBy(file).agg((F.max(row) + 1).alias("_rows"))
+    earlier = Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(file, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    held = (F.col("_before") + F.col(row) <= 100 * n) | (F.col(row) == 0)
+    return df.join(before, file).filter(held).select(*df.columns)
 
 
 def union_samples(frames: Sequence[DataFrame]) -> DataFrame:

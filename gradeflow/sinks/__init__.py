@@ -14,23 +14,17 @@ CHUNK_ROWS = 5000
 def write_results(
     df: DataFrame,
     path: str,
-    key: Sequence[str] = ("question_id",),
     chunk_rows: int = CHUNK_ROWS,
     by: Sequence[str] = ("model", "dataset"),
     mode: str = "overwrite",
 ) -> None:
     """K1: result rows as JSON lines under ``model=/dataset=``, at most ``chunk_rows`` per file.
 
-    The row counts per run say how many chunks each run needs; rows are spread over
-    them by a hash of their key.  A run that holds most of the rows is thereby written
-    by many tasks, and files come out nearly full.
+    Rebalancing brings the rows of a run together and, by their measured size, splits a
+    run that holds most of the rows over several tasks; files come out nearly full.
     """
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    chunks = F.ceil(F.col("_n") / chunk_rows)
-    spread = df.join(counts, list(by)).withColumn("_chunk", F.pmod(F.xxhash64(*key), chunks))
     (
-        spread.repartition(*by, "_chunk")
-        .drop("_n", "_chunk")
+        df.hint("rebalance", *by)
         .write.mode(mode)
         .partitionBy(*by)
         .option("maxRecordsPerFile", chunk_rows)

@@ -22,22 +22,35 @@ from .scores import read_scores, read_scores_json, valid_scores
 from .weights import Node, flatten_weights, load_weights, weights_frame
 
 
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """Give every core a share of a table stored in fewer splits than there are cores.
+
+    A table with enough splits comes back unchanged, so large data is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *key) if df.rdd.getNumPartitions() < cores else df
+
+
 def _pick(config: dict, *names: str) -> dict:
     return {n: config[n] for n in names if n in config}
 
 
+def _needs_row_index(config: dict) -> bool:
+    """A formatter drops the row number, so only unformatted or capped rows need it."""
+    return bool(config.get("head_biased")) or not config.get("formatter_name")
+
+
 @loaders.register("CSVDataLoader")
 def _csv(spark: SparkSession, config: dict) -> DataFrame:
     options = _pick(config, "encoding", "skip_header", "recursive", "suffix", "sep", "width", "multi_line")
-    rows = read_csv(spark, config["paths"], **options)
+    rows = read_csv(spark, config["paths"], row_index=_needs_row_index(config), **options)
     return head_biased_cap(rows, config.get("num", -1)) if config.get("head_biased") else rows
 
 
 @loaders.register("TSVDataLoader")
 def _tsv(spark: SparkSession, config: dict) -> DataFrame:
-    return read_tsv(
-        spark, config["paths"], **_pick(config, "encoding", "skip_header", "recursive", "suffix", "width")
-    )
+    options = _pick(config, "encoding", "skip_header", "recursive", "suffix", "width")
+    return read_tsv(spark, config["paths"], row_index=_needs_row_index(config), **options)
 
 
 @loaders.register("JsonLoader")

@@ -42,6 +42,7 @@ def _read(
     quote: bool,
     width: int | None,
     multi_line: bool,
+    row_index: bool,
 ) -> DataFrame:
     roots = resolve(spark, paths, suffix, recursive)
     if not roots:
@@ -70,8 +71,10 @@ def _read(
         options["escape"] = "\x00"
     schema = ", ".join(f"`{n}` string" for n in names)
     cells = spark.read.schema(schema).options(**options).csv(roots)
-    scanned = cells.select(F.array(*names).alias("raw_data"), *scan_position())
-    numbered = number_rows(scanned, "_row_index")
+    raw = F.array(*names).alias("raw_data")
+    if not row_index:
+        return clean_cells(cells.select(raw, file_path().alias("_source_file")))
+    numbered = number_rows(cells.select(raw, *scan_position()), "_row_index")
     rows = numbered.select("raw_data", file_path("_file").alias("_source_file"), "_row_index")
     return clean_cells(rows)
 
@@ -87,6 +90,7 @@ def read_csv(
     suffix: str = "csv",
     width: int | None = None,
     multi_line: bool = True,
+    row_index: bool = True,
 ) -> DataFrame:
     """Trimmed cells as ``raw_data``, with ``_source_file`` and ``_row_index``.
 
@@ -94,13 +98,15 @@ def read_csv(
     files without a header.  ``sep`` and ``width`` (number of fields) are taken from the
     head of the first file unless given; short rows are filled with empty cells.
     ``multi_line=False`` lets Spark split large files that have no line break inside a
-    quoted cell.  Row numbers leave out completely empty lines, which the parser skips.
+    quoted cell.  Row numbers take a second, counting scan, which ``row_index=False``
+    saves; they leave out completely empty lines, which the parser skips.
     """
     if sep is None and suffix == "tsv":
         sep = "\t"
     return _read(
         spark, paths, suffix=suffix, recursive=recursive, encoding=encoding,
         skip_header=skip_header, sep=sep, quote=True, width=width, multi_line=multi_line,
+        row_index=row_index,
     )
 
 
@@ -113,9 +119,11 @@ def read_tsv(
     recursive: bool = False,
     suffix: str = "tsv",
     width: int | None = None,
+    row_index: bool = True,
 ) -> DataFrame:
     """Tab-separated rows; quotes are ordinary characters, so files split freely."""
     return _read(
         spark, paths, suffix=suffix, recursive=recursive, encoding=encoding,
         skip_header=skip_header, sep="\t", quote=False, width=width, multi_line=False,
+        row_index=row_index,
     )

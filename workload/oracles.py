@@ -470,7 +470,7 @@ ORACLES: dict[str, str] = {
     "arriving_accuracy": accuracy("model"),
     "sampled": """
         SELECT doc_id, lang FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 100""",
-    "sampled_by_bucket": """
+    "sampled_below_threshold": """
         SELECT event_id, event_type FROM events ORDER BY md5('7:' || event_id), event_id LIMIT 4000""",
     "first_rows": "SELECT doc_id, n_chars FROM documents ORDER BY n_chars, doc_id LIMIT 50",
     "united_samples": """

@@ -16,7 +16,7 @@ from gradeflow.registry import run_analyzers
 from gradeflow.streaming import read_responses, running_accuracy
 
 from . import views
-from .views import table
+from .views import table, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -148,13 +148,13 @@ def rejected_rows(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def cleaned_cells(spark: SparkSession, sf: str) -> DataFrame:
     cells = F.split("text", "\n").alias("raw_data")
-    rows = formatting.clean_cells(table(spark, sf, "documents").select("doc_id", cells))
+    rows = formatting.clean_cells(texts(spark, sf, "documents", "doc_id").select("doc_id", cells))
     return rows.select("doc_id", digest(F.array_join("raw_data", "|")))
 
 
 @query
 def option_letters(spark: SparkSession, sf: str) -> DataFrame:
-    lettered = table(spark, sf, "documents").select(
+    lettered = texts(spark, sf, "documents", "doc_id").select(
         "doc_id", formatting.options_to_letters(F.split("text", "\n")).alias("o")
     )
     pairs = F.transform(F.map_entries("o"), lambda e: F.concat_ws("=", e["key"], e["value"]))
@@ -203,7 +203,7 @@ def response_content(spark: SparkSession, sf: str) -> DataFrame:
         .when(F.col("turn") % 3 == 1, said)
         .otherwise(failed)
     )
-    turns = table(spark, sf, "conversations")
+    turns = texts(spark, sf, "conversations", "conv_id", "turn")
     return turns.select("conv_id", "turn", digest(answers.extract_content(response)))
 
 
@@ -233,7 +233,7 @@ def prompt_render(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def chat_request(spark: SparkSession, sf: str) -> DataFrame:
     body = prompts.to_chat_request(F.col("text"), "judge", {"max_tokens": 16, "stream": False})
-    return table(spark, sf, "documents").select("doc_id", digest(body))
+    return texts(spark, sf, "documents", "doc_id").select("doc_id", digest(body))
 
 
 @query
@@ -254,7 +254,7 @@ def model_responses(spark: SparkSession, sf: str) -> DataFrame:
     def load():
         return lambda prompts: ["ABCD"[len(p) % 4] for p in prompts]
 
-    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"))
+    docs = texts(spark, sf, "documents", "doc_id").select("doc_id", F.col("text").alias("prompt"))
     answered = inference.apply_model(docs, load, batch_size=64)
     return answered.select("doc_id", "response", "error")
 
@@ -275,7 +275,7 @@ def model_evaluation(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def choice_answers(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "documents", "doc_id")
     return docs.select("doc_id", answers.extract_choice(F.col("text")).alias("answer"))
 
 
@@ -292,14 +292,14 @@ def _reading_response() -> Column:
 
 @query
 def reading_answers(spark: SparkSession, sf: str) -> DataFrame:
-    turns = table(spark, sf, "conversations")
+    turns = texts(spark, sf, "conversations", "conv_id", "turn")
     return turns.select("conv_id", "turn", answers.extract_reading(_reading_response()).alias("answer"))
 
 
 @query
 def answers_by_task(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.when(F.col("role") == "assistant", "reading_comprehension").otherwise("choice")
-    turns = table(spark, sf, "conversations")
+    turns = texts(spark, sf, "conversations", "conv_id", "turn")
     return turns.select(
         "conv_id", "turn", answers.extract_answer(_reading_response(), kind).alias("answer")
     )
@@ -307,7 +307,7 @@ def answers_by_task(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def parsed_scores(spark: SparkSession, sf: str) -> DataFrame:
-    events = table(spark, sf, "events")
+    events = texts(spark, sf, "events", "event_id")
     return events.select(
         "event_id",
         answers.parse_score(F.col("props")).cast("long").alias("score"),
@@ -318,16 +318,15 @@ def parsed_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def scored_results(spark: SparkSession, sf: str) -> DataFrame:
-    scored = scoring.score_results(
-        views.samples(spark, sf), views.responses(spark, sf), check_unique=True
-    )
+    questions = views.samples(spark, sf)
+    scored = scoring.score_results(questions, views.responses(questions), check_unique=True)
     return scored.select("doc_id", "model", "predicted_answer", "is_correct")
 
 
 def _token_logprobs(spark: SparkSession, sf: str) -> DataFrame:
     at = F.col("pos")
     option = F.when(at < 10, "A").when(at < 25, "B").when(at < 45, "C").otherwise("D")
-    long = table(spark, sf, "embeddings").select(
+    long = texts(spark, sf, "embeddings", "vec_id").select(
         F.col("vec_id").alias("question_id"), F.posexplode("embedding").alias("pos", "logprob")
     )
     return long.withColumn("option", option)
@@ -348,7 +347,7 @@ def picked_by_sum(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def classified(spark: SparkSession, sf: str) -> DataFrame:
     labels = [f"class_{i}" for i in range(64)]
-    made = table(spark, sf, "embeddings").select(
+    made = texts(spark, sf, "embeddings", "vec_id").select(
         "vec_id", logits.classify_logits(F.col("embedding"), labels).alias("c")
     )
     out = made.select(
@@ -397,20 +396,20 @@ def mutual_by_model(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def distinct_trigrams(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "documents", "doc_id")
     return rounded(metrics.distinct_n(docs, "text", 3, ["lang"]), "distinct_3")
 
 
 @query
 def distinct_words(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "documents", "doc_id")
     return rounded(metrics.distinct_n(docs, "text", 1), "distinct_1")
 
 
 @query
 def distinct_per_document(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select(
-        "doc_id", text.tokenize(text.clean_text(F.col("text"))).alias("tokens")
+    docs = texts(spark, sf, "documents", "doc_id").select(
+        "doc_id", text.preprocess(F.col("text")).alias("tokens")
     )
     out = docs.select("doc_id", *metrics.distinct_k(F.col("tokens"), [1, 2, 3]))
     return rounded(out, "distinct_1", "distinct_2", "distinct_3")
@@ -419,7 +418,7 @@ def distinct_per_document(spark: SparkSession, sf: str) -> DataFrame:
 def _against_benchmark(spark: SparkSession, sf: str) -> DataFrame:
     """Each document with one benchmark item as its reference."""
     items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("ref"))
-    docs = table(spark, sf, "documents").select(
+    docs = texts(spark, sf, "documents", "doc_id").select(
         "doc_id", F.pmod("doc_id", F.lit(items.count())).alias("item_id"), F.col("text").alias("hyp")
     )
     return docs.join(items, "item_id")
@@ -452,7 +451,8 @@ def rouge_l_pairs(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def rouge_l_turns(spark: SparkSession, sf: str) -> DataFrame:
     """Each turn against the turn before it."""
-    turns = table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("hyp"))
+    turns = texts(spark, sf, "conversations", "conv_id", "turn")
+    turns = turns.select("conv_id", "turn", F.col("text").alias("hyp"))
     before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("hyp").alias("ref"))
     pairs = turns.join(before, ["conv_id", "turn"])
     out = rouge.rouge(pairs, "hyp", "ref", keep=("conv_id", "turn"))
@@ -465,8 +465,9 @@ def arriving_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     """The responses once more, read as a stream of files."""
     path, state = views.scratch(spark, "arriving"), views.scratch(spark, "arriving-state")
     schema = "question_id string, model string, response string"
-    views.responses(spark, sf).select("question_id", "model", "response").write.json(path)
-    asked = views.samples(spark, sf).select("question_id", "correct_answer")
+    questions = views.samples(spark, sf)
+    views.responses(questions).select("question_id", "model", "response").write.json(path)
+    asked = questions.select("question_id", "correct_answer")
     running = running_accuracy(asked, read_responses(spark, path, schema))
     name = "arriving_" + state.rsplit("-", 1)[-1]
     job = (
@@ -487,16 +488,16 @@ def sampled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query
-def sampled_by_bucket(spark: SparkSession, sf: str) -> DataFrame:
-    """A sample cut per hash bucket, as samples too large for one task are."""
+def sampled_below_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    """A sample drawn by a hash threshold, as on tables too large for a top-k."""
     events = table(spark, sf, "events").select("event_id", "event_type")
-    return sampling.sample_n(events, 4000, ["event_id"], seed=7, top_k_rows=1000)
+    return sampling.sample_n(events, 4000, ["event_id"], seed=7, single_task_rows=1000)
 
 
 @query
 def first_rows(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "n_chars")
-    return sampling.take(docs, 50, ["n_chars", "doc_id"])
+    return sampling.take(docs, 50, ["n_chars", "doc_id"], single_task_rows=10)
 
 
 @query
@@ -513,13 +514,14 @@ def united_samples(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def cleaned_pages(spark: SparkSession, sf: str) -> DataFrame:
-    pages = table(spark, sf, "pages").select("page_id", text.clean_text(F.col("html")).alias("clean"))
+    pages = texts(spark, sf, "pages", "page_id")
+    pages = pages.select("page_id", text.clean_text(F.col("html")).alias("clean"))
     return pages.select("page_id", F.length("clean").cast("long").alias("n"), digest(F.col("clean")))
 
 
 @query
 def document_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select(
+    docs = texts(spark, sf, "documents", "doc_id").select(
         "doc_id", text.preprocess(F.col("text"), STOP_WORDS).alias("tokens")
     )
     return docs.select(
@@ -529,7 +531,8 @@ def document_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def document_ngrams(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", text.tokenize(F.col("text")).alias("t"))
+    docs = texts(spark, sf, "documents", "doc_id")
+    docs = docs.select("doc_id", text.tokenize(F.col("text")).alias("t"))
     grams = docs.select("doc_id", text.ngrams(F.col("t"), 3).alias("g"))
     joined = F.array_join(F.transform("g", lambda g: F.array_join(g, " ")), "|")
     return grams.select("doc_id", F.size("g").cast("long").alias("n"), digest(joined))
@@ -541,7 +544,7 @@ def filtered_tokens(spark: SparkSession, sf: str) -> DataFrame:
     words = table(spark, sf, "benchmark").select(
         F.explode(text.tokenize(F.col("text"))).alias("word")
     ).distinct()
-    turns = table(spark, sf, "conversations").select(
+    turns = texts(spark, sf, "conversations", "conv_id", "turn").select(
         "conv_id", "turn", text.tokenize(F.col("text")).alias("tokens")
     )
     kept = sources.stop_word_filter(turns, ["conv_id", "turn"], "tokens", words)
@@ -569,7 +572,7 @@ def page_names(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def printed_scores(spark: SparkSession, sf: str) -> DataFrame:
     value = F.when(F.col("event_type") != "error", F.col("value"))
-    events = table(spark, sf, "events")
+    events = texts(spark, sf, "events", "event_id")
     return events.select(
         "event_id", text.format_score(value).alias("printed"),
         text.round2(value / 3).alias("third"),
@@ -654,7 +657,8 @@ def report_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def summary_record(spark: SparkSession, sf: str) -> DataFrame:
-    done = evaluation.evaluate(views.samples(spark, sf), views.responses(spark, sf), by=["model"])
+    questions = views.samples(spark, sf)
+    done = evaluation.evaluate(questions, views.responses(questions), by=["model"])
     counts = done.metrics.select("model", "correct_count", "total_count")
     record = sinks.summary_record(done.results, counts, ["SingleChoiceTask"])
     return record.select(

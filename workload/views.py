@@ -12,6 +12,7 @@ from gradeflow.operators.rollup import scores_from_metrics
 from gradeflow.operators.scoring import score_results
 from gradeflow.plans.reporting import keep
 from gradeflow.session import shared_folder
+from gradeflow.sources import spread
 from gradeflow.sources.weights import flatten_weights
 
 MODELS = ["m0", "m1", "m2", "m3", "m4"]
@@ -51,6 +52,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str, *key: str) -> DataFrame:
+    """A table whose rows are costly to work on, over all cores."""
+    return spread(table(spark, sf, name), *key)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name under the shared folder, for data a query writes and reads."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -62,7 +68,7 @@ def choose(key: Column, mapping: dict[str, str]) -> Column:
 
 def formatted(spark: SparkSession, sf: str, label: Column | None = None) -> DataFrame:
     """All documents as topic questions; the language is the gold class."""
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "documents", "doc_id")
     return format_classification(
         docs, NEWS,
         label=choose(F.col("lang"), LANG_LABEL) if label is None else label,
@@ -95,24 +101,26 @@ def envelope(content: Column) -> Column:
     return F.to_json(F.struct(F.array(message).alias("choices")))
 
 
-def responses(spark: SparkSession, sf: str) -> DataFrame:
+def responses(questions: DataFrame) -> DataFrame:
     """One response per sample and model; every second block of eight is an envelope."""
     doc = F.col("doc_id")
     gold = F.col("correct_answer")
-    asked = samples(spark, sf).select(
+    asked = questions.select(
         "question_id", "doc_id", "source", "correct_answer",
         F.posexplode(F.array(*[F.lit(m) for m in MODELS])).alias("m", "model"),
     )
     right = F.pmod(doc * 7 + F.col("m") * 3, F.lit(10)) < F.col("m") + 5
-    text = wording(F.when(right, gold).otherwise(choose(gold, NEXT_LETTER)), doc)
-    wrapped = F.when(F.floor(doc / 8) % 2 == 1, envelope(text)).otherwise(text)
-    return asked.select(
+    picked = F.when(right, gold).otherwise(choose(gold, NEXT_LETTER))
+    said = asked.withColumn("letter", picked).withColumn("said", wording(F.col("letter"), doc))
+    wrapped = F.when(F.floor(doc / 8) % 2 == 1, envelope(F.col("said"))).otherwise(F.col("said"))
+    return said.select(
         "question_id", "model", F.col("source").alias("dataset"), wrapped.alias("response")
     )
 
 
 def results(spark: SparkSession, sf: str) -> DataFrame:
-    return score_results(samples(spark, sf), responses(spark, sf))
+    questions = samples(spark, sf)
+    return score_results(questions, responses(questions))
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -135,4 +143,5 @@ def dialogue_lines(spark: SparkSession, sf: str) -> DataFrame:
             F.when(i % 2 == 0, "user").otherwise("assistant").alias("role"), x.alias("content")
         ),
     )
-    return table(spark, sf, "documents").select("doc_id", "lang", turns.alias("dialogues"))
+    docs = texts(spark, sf, "documents", "doc_id")
+    return docs.select("doc_id", "lang", turns.alias("dialogues"))
