@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
@@ -147,6 +148,15 @@ def distinct_k(tokens: Column, ks: Sequence[int], plain: bool = True) -> list[Co
     return out
 
 
+def stage_counts(frames: Mapping[str, DataFrame]) -> DataFrame:
+    """A10: rows per stage (read, formatted, sampled, ...) as one table."""
+    counts = [
+        df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("stage"), "n")
+        for name, df in frames.items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def count_rows(df: DataFrame, name: str = "rows") -> tuple[DataFrame, Observation]:
     """A10: count rows as they pass; read the observation after any action on the frame."""
     seen = Observation(name)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import strip
 from .lines import attach_line_labels, read_numbered_lines
-from .paths import exclude_paths, file_path, listing_options, resolve
+from .paths import exclude_paths, exists, file_path, listing_options, resolve
 
 # An explicit mode keeps Spark from narrowing the parse to the columns used later,
 # which would let malformed rows pass.
@@ -119,11 +119,9 @@ def read_parquet(
 
 def read_stop_words(spark: SparkSession, path: str) -> DataFrame:
     """Distinct trimmed words, one per line; a missing file is an empty set."""
-    suffix = path.rsplit(".", 1)[-1] if "." in path.rsplit("/", 1)[-1] else ""
-    roots = resolve(spark, path, suffix) if suffix else [path]
-    if not roots:
+    if not exists(spark, path):
         return spark.createDataFrame([], "word string")
-    return spark.read.text(roots).select(strip(F.col("value")).alias("word")).distinct()
+    return spark.read.text(path).select(strip(F.col("value")).alias("word")).distinct()
 
 
 def stop_word_list(words: DataFrame, limit: int = 100_000) -> list[str]:

@@ -10,6 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 log = logging.getLogger(__name__)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def resolve(
     spark: SparkSession, paths: str | Sequence[str], suffix: str, recursive: bool = False
 ) -> list[str]:

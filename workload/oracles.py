@@ -205,10 +205,13 @@ def tokens(expr: str) -> str:
 
 def grams(expr: str, n: int) -> str:
     """N-grams as space-joined strings."""
-    return (
-        f"list_transform(range(1, greatest(len({expr}) - {n - 2}, 1)), "
-        f"lambda i: array_to_string({expr}[i:i + {n - 1}], ' '))"
+    if n == 1:
+        return expr
+    shifted = ", ".join(
+        f"{expr}[{k + 1}:greatest(len({expr}) - {n - 1 - k}, {k})]" for k in range(n)
     )
+    words = ", ".join(f"z[{k + 1}]" for k in range(n))
+    return f"list_transform(list_zip({shifted}), lambda z: concat_ws(' ', {words}))"
 
 
 def distinct_n(n: int, by: str) -> str:
@@ -312,6 +315,19 @@ CASE turn % 4 WHEN 0 THEN '　答案是： ' || text
 
 RANKED = ["Basic_Capabilities", "Emotional_Intelligence", "Companionship_Ability"]
 
+LEADERBOARD = f"""
+        WITH {SCALED_LEVELS}, dims AS (
+          SELECT model, {", ".join(f"max(score) FILTER (path = '{d}') AS {d}" for d in [*RANKED, "Values_and_Safety"])}
+          FROM level_scores GROUP BY model),
+        totals AS (SELECT *, 0.3 * {RANKED[0]} + 0.4 * {RANKED[1]} + 0.3 * {RANKED[2]} AS total FROM dims)
+        SELECT CASE WHEN total IS NOT NULL
+                    THEN row_number() OVER (ORDER BY total DESC NULLS LAST, model) END AS position,
+               model, round(total, 6) AS total,
+               {", ".join(f"round({d}, 6) AS {d}" for d in [*RANKED, "Values_and_Safety"])},
+               CASE WHEN total IS NULL THEN 'Incomplete' WHEN Values_and_Safety < 70 THEN 'Gray'
+                    ELSE 'Normal' END AS status
+        FROM totals"""
+
 ORACLES: dict[str, str] = {
     "parquet_scan": """
         SELECT doc_id, 'documents.parquet' AS file_name, doc_id AS row_index FROM documents""",
@@ -320,6 +336,23 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, lang, md5({strip("'\"' || regexp_replace(text, '[\t\r\n]', ' ', 'g')")}) AS digest
         FROM documents""",
     "jsonl_scan": "SELECT doc_id, lang, md5(text) AS digest FROM documents",
+    "json_scan": "SELECT conv_id, turn, role, md5(text) AS digest, turn AS row_index FROM conversations",
+    "line_labels": """
+        SELECT doc_id, lang AS label FROM documents WHERE doc_id % 7 <> 0""",
+    "capped_rows": "SELECT doc_id FROM documents WHERE doc_id <= 300",
+    "configured_samples": f"""
+        WITH {SAMPLES}
+        SELECT sha256(scene || doc_id) AS question_id, correct_answer FROM questions
+        ORDER BY md5('11:' || sha256(scene || doc_id)) LIMIT 150""",
+    "row_counts": f"""
+        WITH {SAMPLES}
+        SELECT 'read' AS stage, count(*) AS n FROM documents
+        UNION ALL SELECT 'formatted', count(*) FROM questions
+        UNION ALL SELECT 'sampled', least(count(*), 250) FROM questions""",
+    "level_files": f"""
+        WITH {SCALED_LEVELS}
+        SELECT path, {", ".join(f"coalesce(max(format('{{:.2f}}', round(score, 2))) FILTER (model = '{m}' AND score IS NOT NULL), 'N/A') AS {m}" for m in MODELS)}
+        FROM level_scores WHERE level = 3 GROUP BY pos, path""",
     "score_files": f"""
         WITH {ANSWERS}
         SELECT model, dataset, round(count(*) FILTER (is_correct) / count(*) * 100, 2) AS score
@@ -526,18 +559,8 @@ ORACLES: dict[str, str] = {
           FROM level_scores WHERE score > 0)
         SELECT l.path, l.model, CASE WHEN r <= 2 THEN r ELSE 0 END AS mark
         FROM level_scores l LEFT JOIN ranked USING (path, model)""",
-    "model_leaderboard": f"""
-        WITH {SCALED_LEVELS}, dims AS (
-          SELECT model, {", ".join(f"max(score) FILTER (path = '{d}') AS {d}" for d in [*RANKED, "Values_and_Safety"])}
-          FROM level_scores GROUP BY model),
-        totals AS (SELECT *, 0.3 * {RANKED[0]} + 0.4 * {RANKED[1]} + 0.3 * {RANKED[2]} AS total FROM dims)
-        SELECT CASE WHEN total IS NOT NULL
-                    THEN row_number() OVER (ORDER BY total DESC NULLS LAST, model) END AS position,
-               model, round(total, 6) AS total,
-               {", ".join(f"round({d}, 6) AS {d}" for d in [*RANKED, "Values_and_Safety"])},
-               CASE WHEN total IS NULL THEN 'Incomplete' WHEN Values_and_Safety < 70 THEN 'Gray'
-                    ELSE 'Normal' END AS status
-        FROM totals""",
+    "model_leaderboard": LEADERBOARD,
+    "leaderboard_files": LEADERBOARD,
     "level_two_table": f"""
         WITH {SCALED_LEVELS}
         SELECT CAST(pos AS BIGINT) AS pos, path,

@@ -12,7 +12,7 @@ from gradeflow.operators import (
     dialogues, formatting, inference, metrics, ranking, rollup, rouge, sampling, scoring,
 )
 from gradeflow.plans import evaluation, reporting
-from gradeflow.registry import run_analyzers
+from gradeflow.registry import formatters, run_analyzers
 from gradeflow.streaming import read_responses, running_accuracy
 
 from . import views
@@ -96,6 +96,78 @@ def jsonl_scan(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", "lang", digest(F.col("text")))
 
 
+@query
+def json_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations written as one JSON array per file, then read back."""
+    path = views.scratch(spark, "json")
+    turns = table(spark, sf, "conversations")
+    body = F.to_json(F.struct("conv_id", "turn", "role", "text"))
+    opening = F.when(F.col("turn") == 0, "[").otherwise(",")
+    lines = turns.select("conv_id", "turn", F.concat(opening, body).alias("value"))
+    closing = turns.groupBy("conv_id").agg((F.max("turn") + 1).alias("turn"))
+    lines = lines.unionByName(closing.withColumn("value", F.lit("]")))
+    ordered = lines.repartition("conv_id").sortWithinPartitions("conv_id", "turn")
+    ordered.withColumnRenamed("conv_id", "part").drop("turn").write.partitionBy("part").text(path)
+    schema = "conv_id long, turn long, role string, text string"
+    rows = sources.read_json(spark, path, schema, recursive=True, suffix="txt")
+    return rows.select(
+        "conv_id", "turn", "role", digest(F.col("text")), F.col("_row_index").alias("row_index")
+    )
+
+
+@query
+def line_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Records and labels in files side by side, matched by line number."""
+    path = views.scratch(spark, "lines")
+    record = F.to_json(F.struct("doc_id", "text"))
+    record = F.when(F.col("doc_id") % 7 == 0, "{broken").otherwise(record)
+    sides = F.array(
+        F.struct(F.lit("records").alias("side"), record.alias("value")),
+        F.struct(F.lit("labels").alias("side"), F.col("lang").alias("value")),
+    )
+    docs = texts(spark, sf, "documents", "doc_id").select("doc_id", F.inline(sides))
+    ordered = docs.sortWithinPartitions("side", "doc_id").select("side", "value")
+    ordered.write.partitionBy("side").text(path)
+
+    def lines(side: str, suffix: str) -> DataFrame:
+        read = sources.read_numbered_lines(spark, f"{path}/side={side}", "txt")
+        stem = F.regexp_replace("_source_file", f"side={side}/(.*)[.]txt$", f"$1{suffix}")
+        return read.withColumn("_source_file", stem)
+
+    labelled = sources.attach_line_labels(lines("records", ".jsonl"), lines("labels", "-labels.lst"))
+    return sources.parse_json_lines(labelled, "doc_id long, text string", ["label"]).select(
+        "doc_id", "label"
+    )
+
+
+@query
+def capped_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = sources.read_parquet(spark, f"{sf}/documents.parquet")
+    return sampling.head_biased_cap(rows, 3).select("doc_id")
+
+
+@formatters.register("DocumentsFormatter")
+def _documents_formatter(df: DataFrame) -> DataFrame:
+    return views.questions_of(df)
+
+
+@query
+def configured_samples(spark: SparkSession, sf: str) -> DataFrame:
+    config = {
+        "class": "ParquetDataLoader", "paths": [f"{sf}/documents.parquet", f"{sf}/absent.parquet"],
+        "formatter_name": "DocumentsFormatter", "num": 150, "seed": 11,
+    }
+    return evaluation.load_samples(spark, [config]).select("question_id", "correct_answer")
+
+
+@query
+def row_counts(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    questions = views.questions_of(docs)
+    picked = sampling.sample_n(questions, 250, ["question_id"])
+    return metrics.stage_counts({"read": docs, "formatted": questions, "sampled": picked})
+
+
 @query
 def score_files(spark: SparkSession, sf: str) -> DataFrame:
     path = views.scratch(spark, "metrics")
@@ -141,7 +213,7 @@ def news_samples(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def rejected_rows(spark: SparkSession, sf: str) -> DataFrame:
     label = F.concat(F.lit(" "), (F.col("doc_id") % 6).cast("string"), F.lit("\t"))
-    out = formatting.rejects(views.formatted(spark, sf, label=label))
+    out = formatting.rejects(views.formatted(table(spark, sf, "documents"), label))
     return out.select("doc_id", "reject_reason")
 
 
@@ -541,9 +613,9 @@ def document_ngrams(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def filtered_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Turn tokens without any word that occurs in the benchmark."""
-    words = table(spark, sf, "benchmark").select(
-        F.explode(text.tokenize(F.col("text"))).alias("word")
-    ).distinct()
+    path = views.scratch(spark, "words")
+    table(spark, sf, "benchmark").select(F.explode(text.tokenize(F.col("text")))).write.text(path)
+    words = sources.read_stop_words(spark, path)
     turns = texts(spark, sf, "conversations", "conv_id", "turn").select(
         "conv_id", "turn", text.tokenize(F.col("text")).alias("tokens")
     )
@@ -633,6 +705,21 @@ def model_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(board, "total", *ranking.RANKED_DIMENSIONS, ranking.GATE_DIMENSION)
 
 
+@query
+def leaderboard_files(spark: SparkSession, sf: str) -> DataFrame:
+    path = views.scratch(spark, "leaderboard")
+    sinks.write_leaderboard(_levels(spark, sf).level_scores, path)
+    board = spark.read.parquet(path)
+    return rounded(board, "total", *ranking.RANKED_DIMENSIONS, ranking.GATE_DIMENSION)
+
+
+@query
+def level_files(spark: SparkSession, sf: str) -> DataFrame:
+    path = views.scratch(spark, "levels")
+    written = sinks.write_level_tables(_levels(spark, sf).level_scores, path)
+    return spark.read.parquet(written[2]).drop("pos")
+
+
 @query
 def level_two_table(spark: SparkSession, sf: str) -> DataFrame:
     out = ranking.level_table(_levels(spark, sf).level_scores, 2, views.MODELS)

@@ -66,9 +66,8 @@ def choose(key: Column, mapping: dict[str, str]) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv]), key)
 
 
-def formatted(spark: SparkSession, sf: str, label: Column | None = None) -> DataFrame:
+def formatted(docs: DataFrame, label: Column | None = None) -> DataFrame:
     """All documents as topic questions; the language is the gold class."""
-    docs = texts(spark, sf, "documents", "doc_id")
     return format_classification(
         docs, NEWS,
         label=choose(F.col("lang"), LANG_LABEL) if label is None else label,
@@ -77,8 +76,12 @@ def formatted(spark: SparkSession, sf: str, label: Column | None = None) -> Data
     )
 
 
+def questions_of(docs: DataFrame) -> DataFrame:
+    return accepted(formatted(docs))
+
+
 def samples(spark: SparkSession, sf: str) -> DataFrame:
-    return accepted(formatted(spark, sf))
+    return questions_of(texts(spark, sf, "documents", "doc_id"))
 
 
 def wording(letter: Column, doc_id: Column) -> Column:
