@@ -9,6 +9,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sizes import broadcast_if, file_count, scanned_bytes
+
 log = logging.getLogger(__name__)
 
 # How many rows one task may be given to merge in a top-k.
@@ -20,10 +22,9 @@ LANES = 1000
 def _merged_rows(df: DataFrame, n: int) -> float:
     """Rows the last task of ``orderBy().limit(n)`` receives: up to ``n`` from every split.
 
-    Taken from the optimizer's size estimate, so nothing is executed.
+    Splits follow from the bytes the plan reads, so nothing is executed.
     """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return n * max(1.0, size / SPLIT_BYTES)
+    return n * max(1.0, scanned_bytes(df) / SPLIT_BYTES)
 
 
 def sample_key(key: Sequence[str], seed: int) -> Column:
@@ -116,7 +117,7 @@ def head_biased_cap(
     earlier = Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select(file, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
     held = (F.col("_before") + F.col(row) <= 100 * n) | (F.col(row) == 0)
-    return df.join(before, file).filter(held).select(*df.columns)
+    return df.join(broadcast_if(before, file_count(df)), file).filter(held).select(*df.columns)
 
 
 def union_samples(frames: Sequence[DataFrame]) -> DataFrame:

@@ -12,7 +12,7 @@ from ..operators.inference import apply_model
 from ..operators.metrics import accuracy
 from ..operators.sampling import union_samples
 from ..operators.scoring import score_columns, score_results
-from ..sources import load
+from .loading import load
 
 
 @dataclass(frozen=True)

@@ -1,11 +1,5 @@
-"""Readers, and the loader registry entries built on them."""
+"""Readers: files to DataFrames with a stated schema."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-from ..operators.sampling import head_biased_cap, sample_n, take
-from ..registry import formatters, loaders
 from .delimited import read_csv, read_tsv
 from .documents import (
     parse_json_lines,
@@ -20,70 +14,3 @@ from .lines import attach_line_labels, read_numbered_lines
 from .paths import exclude_paths, resolve
 from .scores import read_scores, read_scores_json, valid_scores
 from .weights import Node, flatten_weights, load_weights, weights_frame
-
-
-def spread(df: DataFrame, *key: str) -> DataFrame:
-    """Give every core a share of a table stored in fewer splits than there are cores.
-
-    A table with enough splits comes back unchanged, so large data is not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *key) if df.rdd.getNumPartitions() < cores else df
-
-
-def _pick(config: dict, *names: str) -> dict:
-    return {n: config[n] for n in names if n in config}
-
-
-def _needs_row_index(config: dict) -> bool:
-    """A formatter drops the row number, so only unformatted or capped rows need it."""
-    return bool(config.get("head_biased")) or not config.get("formatter_name")
-
-
-@loaders.register("CSVDataLoader")
-def _csv(spark: SparkSession, config: dict) -> DataFrame:
-    options = _pick(config, "encoding", "skip_header", "recursive", "suffix", "sep", "width", "multi_line")
-    rows = read_csv(spark, config["paths"], row_index=_needs_row_index(config), **options)
-    return head_biased_cap(rows, config.get("num", -1)) if config.get("head_biased") else rows
-
-
-@loaders.register("TSVDataLoader")
-def _tsv(spark: SparkSession, config: dict) -> DataFrame:
-    options = _pick(config, "encoding", "skip_header", "recursive", "suffix", "width")
-    return read_tsv(spark, config["paths"], row_index=_needs_row_index(config), **options)
-
-
-@loaders.register("JsonLoader")
-def _json(spark: SparkSession, config: dict) -> DataFrame:
-    return read_json(spark, config["paths"], config["schema"], **_pick(config, "recursive"))
-
-
-@loaders.register("JsonlLoader")
-def _jsonl(spark: SparkSession, config: dict) -> DataFrame:
-    options = _pick(config, "recursive", "suffix", "exclude_path_patterns", "labelled_paths")
-    return read_jsonl(spark, config["paths"], config["schema"], **options)
-
-
-@loaders.register("ParquetDataLoader")
-def _parquet(spark: SparkSession, config: dict) -> DataFrame:
-    return read_parquet(spark, config["paths"], **_pick(config, "recursive", "val", "suffix", "raw"))
-
-
-def load(spark: SparkSession, config: dict) -> DataFrame:
-    """Read, format and sample as one configuration entry says.
-
-    ``class`` names the loader, ``formatter_name`` the formatter, ``num`` the sample
-    size, ``seed`` its seed and ``key`` the unique columns that order it.  With
-    ``first=True`` the sample is the first ``num`` rows in key order, taken before
-    formatting.
-    """
-    rows = loaders.get(config["class"])(spark, config)
-    num = config.get("num", -1)
-    key = config.get("key")
-    if config.get("first"):
-        rows = take(rows, num, key)
-    if config.get("formatter_name"):
-        rows = rows.transform(formatters.get(config["formatter_name"]))
-    if num == -1 or config.get("first"):
-        return rows
-    return sample_n(rows, num, key or ["question_id"], config.get("seed", 42))

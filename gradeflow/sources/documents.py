@@ -43,7 +43,10 @@ def read_json(
     reader = spark.read.options(**listing_options(suffix, recursive))
     docs = reader.text(roots, wholetext=True)
     items = F.from_json("value", T.ArrayType(fields), STRICT)
-    rows = docs.select(file_path().alias("_source_file"), F.posexplode(items).alias("_at", "_item"))
+    # The outer form keeps Spark from parsing once more just to filter empty documents.
+    rows = docs.select(
+        file_path().alias("_source_file"), F.posexplode_outer(items).alias("_at", "_item")
+    )
     return rows.filter(F.col("_item").isNotNull()).select(
         "_item.*", "_source_file", F.col("_at").cast("long").alias("_row_index")
     )
@@ -138,7 +141,8 @@ def stop_word_filter(df: DataFrame, key: Sequence[str], tokens: str, words: Data
     Tokens are exploded and anti-joined, then put back together by row key.  A row
     whose tokens all vanish keeps an empty list.
     """
-    parts = df.select(*key, F.posexplode(tokens).alias("_at", "_token"))
+    parts = df.select(*key, F.posexplode_outer(tokens).alias("_at", "_token"))
+    parts = parts.filter(F.col("_token").isNotNull())
     kept = parts.join(words, parts["_token"] == words["word"], "left_anti")
     lists = kept.groupBy(*key).agg(
         F.array_sort(F.collect_list(F.struct("_at", "_token"))).alias("_kept")

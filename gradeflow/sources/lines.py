@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import strip
+from ..sizes import broadcast_if, split_bound
 from .paths import file_path, listing_options, resolve
 
 
@@ -17,7 +18,8 @@ def number_rows(df: DataFrame, out: str, start: int = 0) -> DataFrame:
     scan's split starts) and ``_at`` (``monotonically_increasing_id``).  A split is read
     in order by one task, so a row's place in its split is its distance from the
     split's smallest id; adding the rows of the file's earlier splits gives its number.
-    Only one row per split is shuffled.
+    Only one row per split is shuffled, and those rows are broadcast as long as the
+    scan's files and size bound their number.
     """
     splits = df.groupBy("_file", "_block").agg(
         F.min("_at").alias("_from"), F.count(F.lit(1)).alias("_rows")
@@ -30,7 +32,7 @@ def number_rows(df: DataFrame, out: str, start: int = 0) -> DataFrame:
     )
     number = F.col("_before") + (F.col("_at") - F.col("_from")) + start
     return (
-        df.join(offsets, ["_file", "_block"])
+        df.join(broadcast_if(offsets, split_bound(df)), ["_file", "_block"])
         .withColumn(out, number.cast("long"))
         .drop("_block", "_at", "_from", "_before")
     )

@@ -52,5 +52,5 @@ def read_scores_json(spark: SparkSession, path: str, lines: bool = False) -> Dat
     """
     docs = spark.read.text(path, wholetext=not lines)
     scores = F.from_json("value", "map<string,map<string,double>>")
-    models = docs.select(F.explode(scores).alias("model", "_scores"))
-    return models.select("model", F.explode("_scores").alias("dataset", "score"))
+    models = docs.select(F.explode_outer(scores).alias("model", "_scores"))
+    return models.filter(F.col("model").isNotNull()).select("model", F.explode("_scores").alias("dataset", "score"))

@@ -12,7 +12,7 @@ from gradeflow.operators.rollup import scores_from_metrics
 from gradeflow.operators.scoring import score_results
 from gradeflow.plans.reporting import keep
 from gradeflow.session import shared_folder
-from gradeflow.sources import spread
+from gradeflow.sizes import spread
 from gradeflow.sources.weights import flatten_weights
 
 MODELS = ["m0", "m1", "m2", "m3", "m4"]
