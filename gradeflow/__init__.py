@@ -1,7 +1,15 @@
 """Evaluation analytics on Spark: questions, responses, scores and reports as DataFrames."""
 
-from . import functions, operators, plans, registry, sinks, sources, streaming
-from .session import local_session, shared_folder
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the job, so executors need no copy of
+# this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+from . import functions, operators, plans, registry, sinks, sources, streaming  # noqa: E402
+from .session import local_session, shared_folder  # noqa: E402
 
 __all__ = [
     "functions", "operators", "plans", "registry", "sinks", "sources", "streaming",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..sources.weights import Node, weights_frame
 
@@ -70,16 +70,19 @@ def coverage(scores: DataFrame) -> DataFrame:
     )
 
 
-def _add(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _weighted_mean(children: list[Node], column) -> Column:
-    """Mean over the children that have a score; null if none has, or weights are zero."""
-    usable = [(c, column(c).isNotNull() & ~F.isnan(column(c))) for c in children]
-    total = _add([F.when(ok, F.lit(c.weight)).otherwise(F.lit(0.0)) for c, ok in usable])
-    value = _add([F.when(ok, column(c) * c.weight).otherwise(F.lit(0.0)) for c, ok in usable])
-    return F.when(total > 0, value / total)
+def _weighted_mean(children: list[Node], column: Callable[[Node], str]) -> str:
+    """Mean over the children that have a score; null if none has, or weights are zero.
+
+    Written as SQL text, since a tree has many nodes and a text is one call to the JVM.
+    """
+    known = {c: f"({column(c)} IS NOT NULL AND NOT isnan({column(c)}))" for c in children}
+    total = " + ".join(f"IF({ok}, {c.weight!r}D, 0D)" for c, ok in known.items())
+    value = " + ".join(f"IF({ok}, {column(c)} * {c.weight!r}D, 0D)" for c, ok in known.items())
+    return f"IF({total} > 0, ({value}) / ({total}), NULL)"
 
 
 def weighted_mean_rollup(scores: DataFrame, nodes: list[Node]) -> DataFrame:
@@ -92,24 +95,25 @@ def weighted_mean_rollup(scores: DataFrame, nodes: list[Node]) -> DataFrame:
     """
     datasets = sorted({n.dataset for n in nodes if n.dataset is not None})
     at = {d: f"d{i}" for i, d in enumerate(datasets)}
-    leaves = [F.max(F.when(F.col("dataset") == d, F.col("score"))).alias(c) for d, c in at.items()]
-    wide = scores.groupBy("model").agg(F.count(F.lit(1)).alias("_rows"), *leaves).drop("_rows")
+    leaves = [f"max(score) FILTER (WHERE dataset = {_text(d)}) AS {c}" for d, c in at.items()]
+    # The row count keeps the aggregate valid for a tree that names no data set.
+    wide = scores.groupBy("model").agg(F.count(F.lit(1)), *[F.expr(e) for e in leaves])
 
-    def column(node: Node) -> Column:
+    def column(node: Node) -> str:
         if not node.is_leaf:
-            return F.col(f"n{node.pos}")
-        return F.col(at[node.dataset]) if node.dataset else F.lit(None).cast("double")
+            return f"n{node.pos}"
+        return at[node.dataset] if node.dataset else "CAST(NULL AS DOUBLE)"
 
     children: dict[str | None, list[Node]] = {}
     for node in nodes:
         children.setdefault(node.parent_path, []).append(node)
     for level in sorted({n.level for n in nodes}, reverse=True):
         inner = [n for n in nodes if n.level == level and not n.is_leaf]
-        wide = wide.select(
-            "*", *[_weighted_mean(children[n.path], column).alias(f"n{n.pos}") for n in inner]
-        )
-    cells = F.array(*[F.struct(F.lit(n.pos).alias("pos"), column(n).alias("score")) for n in nodes])
-    long = wide.select("model", F.inline(cells))
+        if inner:
+            means = [f"{_weighted_mean(children[n.path], column)} AS n{n.pos}" for n in inner]
+            wide = wide.selectExpr("*", *means)
+    cells = ", ".join(f"named_struct('pos', {n.pos}, 'score', {column(n)})" for n in nodes)
+    long = wide.selectExpr("model", f"inline(array({cells}))")
     # The node table has one row per line of the configuration file.
     tree = weights_frame(scores.sparkSession, nodes)
     return long.join(F.broadcast(tree), "pos").select(

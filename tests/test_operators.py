@@ -330,6 +330,14 @@ def test_rollup_against_recursion(spark):
     assert scaled["m", "A / x"] == got["m", "A / x"]
 
 
+def test_rollup_quotes_dataset_names(spark):
+    tree = {"A": {"children": {"it's \\ \"odd\"": {"weight": 1e-07}, "100%": {"weight": 3}}}}
+    names = list(tree["A"]["children"])
+    scores = spark.createDataFrame([("m", names[0], 8.0)], "model string, dataset string, score double")
+    got = {r["name"]: r["score"] for r in rollup.weighted_mean_rollup(scores, flatten_weights(tree)).collect()}
+    assert got == {"A": pytest.approx(8.0), names[0]: 8.0, names[1]: None}
+
+
 def test_older_tree_form(spark):
     tree = {"top": {"sub_tasks": {"d1": 2.0, "t": {"weight": 1.0, "d2": 1.0, "d3": 3.0}, "open": {"weight": 9.0}}}}
     nodes = flatten_weights(tree)

@@ -186,14 +186,14 @@ def score_document(spark: SparkSession, sf: str) -> DataFrame:
 def result_files(spark: SparkSession, sf: str) -> DataFrame:
     path = views.scratch(spark, "results")
     slim = views.results(spark, sf).select("question_id", "model", "dataset", "is_correct")
-    sinks.write_results(slim, path, chunk_rows=50)
+    sinks.write_results(slim, path, chunk_rows=500)
     back = spark.read.schema(slim.schema).json(path)
     files = back.groupBy("model", F.col("_metadata.file_path").alias("_file")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if("is_correct").alias("correct")
     )
     return files.groupBy("model").agg(
         F.sum("n").alias("n"), F.sum("correct").alias("correct"),
-        (F.max("n") <= 50).alias("chunks_fit"),
+        (F.max("n") <= 500).alias("chunks_fit"),
     )
 
 
