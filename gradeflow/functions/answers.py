@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import sys
-import unicodedata
-from functools import cache
-
 from pyspark.sql import Column, functions as F
 
 from .chars import LETTER, SPACE, WORD
-from .text import bind, strip
+from .text import ascii_digits, bind, strip
 
 UNKNOWN = "UNKNOWN"
 
@@ -85,20 +81,11 @@ def extract_answer(response: Column, task_type: Column | str = "choice") -> Colu
     )
 
 
-@cache
-def _decimal_digits() -> tuple[str, str]:
-    """All Unicode decimal digits and the ASCII digit each one stands for."""
-    chars = [c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"]
-    return "".join(chars), "".join(str(unicodedata.digit(c)) for c in chars)
-
-
 def parse_score(text: Column, lo: int = 0, hi: int = 9) -> Column:
     """First run of digits clamped to ``[lo, hi]``; -1 where there is none."""
     run = F.regexp_extract(F.coalesce(text, F.lit("")), r"\p{Nd}+", 0)
-    source, target = _decimal_digits()
-    ascii_run = F.when(run.rlike("^[0-9]+$"), run).otherwise(F.translate(run, source, target))
     # More than 38 digits do not fit a decimal, but are certainly above ``hi``.
-    value = F.coalesce(ascii_run.try_cast("decimal(38,0)"), F.lit(hi).cast("decimal(38,0)"))
+    value = F.coalesce(ascii_digits(run).try_cast("decimal(38,0)"), F.lit(hi).cast("decimal(38,0)"))
     clamped = F.greatest(F.lit(lo), F.least(F.lit(hi), value)).cast("int")
     return F.when(run == "", F.lit(-1)).otherwise(clamped)
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Callable, Iterable
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -24,6 +27,19 @@ def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(WHITESPACE))
 
 
+@cache
+def _decimal_digits() -> tuple[str, str]:
+    """All Unicode decimal digits beyond ASCII, and the ASCII digit each one stands for."""
+    chars = [c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"]
+    return "".join(chars), "".join(str(unicodedata.digit(c)) for c in chars)
+
+
+def ascii_digits(col: Column) -> Column:
+    """Decimal digits of any script as 0-9."""
+    source, target = _decimal_digits()
+    return F.when(col.rlike(r"[^\x00-\x7f]"), F.translate(col, source, target)).otherwise(col)
+
+
 def is_blank(col: Column) -> Column:
     return F.coalesce(strip(col) == "", F.lit(True))
 

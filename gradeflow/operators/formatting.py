@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.text import bind, strip
+from ..functions.text import ascii_digits, bind, strip
 from ..registry import formatters
 
 
@@ -63,7 +63,7 @@ def format_classification(
     ``question_id`` hashes the scene.  Exact copies of a text share it, so pass
     ``id_parts`` (a row id) wherever responses are joined by ``question_id``.
     """
-    text = strip(label)
+    text = ascii_digits(strip(label))
     number = F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("int"))
     base = df.select(
         *keep,

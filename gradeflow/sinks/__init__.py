@@ -77,8 +77,11 @@ def summary_record(results: DataFrame, metrics: DataFrame, tasks_run: Sequence[s
     )
     tasks = F.array(*[F.lit(t) for t in tasks_run]).cast("array<string>").alias("tasks_run")
     total = results.agg(F.count(F.lit(1)).alias("total_samples"))
-    # Two one-row aggregates side by side.
-    return total.join(listed, F.lit(True)).select("total_samples", tasks, "metrics")
+    both = total.unionByName(listed, allowMissingColumns=True)
+    return both.agg(
+        F.max("total_samples").alias("total_samples"),
+        F.first("metrics", ignorenulls=True).alias("metrics"),
+    ).select("total_samples", tasks, "metrics")
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:

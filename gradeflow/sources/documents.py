@@ -6,16 +6,11 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..functions.strict_json import parse_whole
 from ..functions.text import strip
 from .lines import attach_line_labels, read_numbered_lines
 from .paths import exclude_paths, exists, file_path, listing_options, resolve
 
-# An explicit mode keeps Spark from narrowing the parse to the columns used later,
-# which would let malformed rows pass.
-STRICT = {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}
-CORRUPT = "_corrupt_record"
-
-
 def _struct(schema: str | T.StructType) -> T.StructType:
     return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
@@ -42,7 +37,10 @@ def read_json(
         return _empty(spark, fields, "_source_file", "_row_index")
     reader = spark.read.options(**listing_options(suffix, recursive))
     docs = reader.text(roots, wholetext=True)
-    items = F.from_json("value", T.ArrayType(fields), STRICT)
+    text = strip(F.col("value"))
+    items = F.when(text.startswith("["), parse_whole(text, T.ArrayType(fields))).otherwise(
+        F.array_compact(F.array(parse_whole(text, fields)))
+    )
     # The outer form keeps Spark from parsing once more just to filter empty documents.
     rows = docs.select(
         file_path().alias("_source_file"), F.posexplode_outer(items).alias("_at", "_item")
@@ -53,12 +51,14 @@ def read_json(
 
 
 def parse_json_lines(lines: DataFrame, schema: str | T.StructType, keep: Sequence[str] = ()) -> DataFrame:
-    """Records of a ``value`` column; lines that are blank or do not parse are dropped."""
+    """Records of a ``value`` column; lines that are not one JSON object are dropped.
+
+    A value of another type than the schema states is null; the record is kept.
+    """
     fields = _struct(schema)
-    full = T.StructType(fields.fields + [T.StructField(CORRUPT, T.StringType())])
-    parsed = lines.select(*keep, "value", F.from_json("value", full, STRICT).alias("_r"))
-    good = parsed.filter(F.col(f"_r.{CORRUPT}").isNull() & (strip(F.col("value")) != ""))
-    return good.select(*[F.col("_r")[f.name].alias(f.name) for f in fields.fields], *keep)
+    record = parse_whole(F.col("value"), fields)
+    parsed = lines.select(*keep, record.alias("_r")).filter(F.col("_r").isNotNull())
+    return parsed.select(*[F.col("_r")[f.name].alias(f.name) for f in fields.fields], *keep)
 
 
 def read_jsonl(

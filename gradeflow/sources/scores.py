@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..functions.strict_json import parse_whole
 from .paths import file_path
 
 RESULT_FILE = "statistical_analysis/result_stats.json"
 
+TEXT_BY_NAME = T.MapType(T.StringType(), T.StringType())
+
 # Fixed value: the first member of a JSON object, if it is a number.
 FIRST_NUMBER = (
     r'^\s*\{\s*"(?:[^"\\]|\\.)*"\s*:\s*'
@@ -35,7 +38,7 @@ def read_scores(spark: SparkSession, root: str, layout: str = "tree") -> DataFra
         named = spark.read.text(root).select(
             F.col("model").cast("string"), F.col("dataset").cast("string"), "value"
         )
-    valid = F.from_json("value", "map<string,string>", {"mode": "PERMISSIVE"}).isNotNull()
+    valid = parse_whole(F.col("value"), TEXT_BY_NAME).isNotNull()
     first = F.when(valid, F.regexp_extract("value", FIRST_NUMBER, 1).try_cast("double"))
     return named.select("model", "dataset", F.round(first * 100, 2).alias("score"))
 

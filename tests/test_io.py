@@ -73,13 +73,18 @@ def test_json_documents(spark, tmp_path):
     write(f"{tmp_path}/b.json", '{"q": "z", "n": 3}')
     write(f"{tmp_path}/c.json", '{"q": broken')
     write(f"{tmp_path}/d.json", "{'q': 'single quotes'}")
+    write(f"{tmp_path}/e.json", '{"q": "two"}\n{"q": "values"}\n')
+    write(f"{tmp_path}/f.json", '[{"q": "x"}] trailing')
+    write(f"{tmp_path}/g.json", "\n[]\n")
+    odd = write(f"{tmp_path}/odd/x.json", '{"odd name": 1, "q": null}')
+    assert sources.read_json(spark, odd, "`odd name` int, q string").first()["odd name"] == 1
     got = sources.read_json(spark, str(tmp_path), "q string, n int")
     rows = sorted((r["q"], r["n"], r["_row_index"]) for r in got.collect())
     assert rows == [("x", 1, 0), ("y", None, 1), ("z", 3, 0)]
 
 
 def test_jsonl_skips_bad_lines_and_files(spark, tmp_path):
-    write(f"{tmp_path}/a.jsonl", '{"q": "x"}\nnot json\n\n{"q": "y", "extra": 1}\n')
+    write(f"{tmp_path}/a.jsonl", '{"q": "x"}\nnot json\n\n{"q": "y", "extra": 1}\n{"q": "z"} x\n{"q": "a"},{"q": "b"}\n3\n')
     write(f"{tmp_path}/math.jsonl", '{"q": "skip"}\n')
     got = sources.read_jsonl(spark, str(tmp_path), "q string", exclude_path_patterns=["math.jsonl"])
     assert sorted(r["q"] for r in got.collect()) == ["x", "y"]
@@ -137,7 +142,7 @@ def test_score_tree(spark, tmp_path):
     files = {
         ("m 1+", "d1"): '{"overall": 0.12345, "correct_count": 3}', ("m 1+", "d2"): '{"text": "0.5", "x": 1}',
         ("m 1+", "d3"): '{"a": 1}', ("m2", "d1"): "{broken", ("m2", "d2"): "{}", ("m2", "d4"): '{"a": true}',
-        ("m3", "d1"): '{"a": 1e-1, "b": [1, 2]}', ("m3", "d2"): "[1]", ("m3", "d3"): '{"a": null}',
+        ("m4", "d1"): '{"a": 0.5} {"b": 1}', ("m3", "d1"): '{"a": 1e-1, "b": [1, 2]}', ("m3", "d2"): "[1]", ("m3", "d3"): '{"a": null}',
     }
     for (model, dataset), content in files.items():
         write(f"{tmp_path}/{model}/{dataset}/statistical_analysis/result_stats.json", content)
@@ -146,7 +151,7 @@ def test_score_tree(spark, tmp_path):
     got = {(r["model"], r["dataset"]): r["score"] for r in sources.valid_scores(scores).collect()}
     assert got == {("m 1+", "d1"): 12.35, ("m 1+", "d3"): 100.0, ("m3", "d1"): 10.0}
     models, datasets = rollup.discover(scores)
-    assert models.count() == 3 and datasets.count() == 4
+    assert models.count() == 4 and datasets.count() == 4
 
 
 def test_metric_and_score_files_round_trip(spark, tmp_path):

@@ -16,12 +16,12 @@ def test_news_formatting_and_rejects(spark):
         (0, ["1", " T one ", '"Body, one"']), (1, ["3", '"T"', "B"]), (2, ["0", "T", "B"]),
         (3, ["5", "T", "B"]), (4, ["1.0", "T", "B"]), (5, ["", "T", "B"]), (6, ["2", "T"]),
         (7, ["2", '""', "B"]), (8, ["+4", "T", "B\nC"]), (9, ["x", "T", "B"]),
-        (10, ["99999999999999", "T", "B"]),
+        (10, ["99999999999999", "T", "B"]), (11, ["２", "T", "B"]),
     ]
     df = spark.createDataFrame(rows, "id long, raw_data array<string>")
     every = formatting.format_news_all(df, keep=["id"])
     good = {r["id"]: r for r in formatting.accepted(every).collect()}
-    assert {i: r["correct_answer"] for i, r in good.items()} == {0: "A", 1: "C", 8: "D"}
+    assert {i: r["correct_answer"] for i, r in good.items()} == {0: "A", 1: "C", 8: "D", 11: "B"}
     scene = "Title: T one\nDescription: Body, one"
     assert good[0]["scene"] == scene
     assert good[0]["question_id"] == hashlib.sha256(scene.encode()).hexdigest()
