@@ -37,8 +37,17 @@ def minmax_by_dataset(scores: DataFrame) -> DataFrame:
     )
 
 
-def normalization_summary(scaled: DataFrame, first: int = 5) -> DataFrame:
-    """Bounds and mean of the first data sets by name; a report of five rows."""
+def normalization_summary(
+    scaled: DataFrame, first: int = 5, raw: DataFrame | None = None
+) -> DataFrame:
+    """Bounds and mean of the first data sets by name; a report of five rows.
+
+    With ``raw`` the first names are taken from the unscaled scores, where a data set
+    without any score still takes up a place.
+    """
+    if raw is not None:
+        names = raw.select("dataset").distinct().orderBy("dataset").limit(first)
+        scaled = scaled.join(names, "dataset", "left_semi")
     return (
         scaled.groupBy("dataset")
         .agg(

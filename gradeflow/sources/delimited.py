@@ -5,8 +5,9 @@ from __future__ import annotations
 import csv
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.text import bind
 from ..operators.formatting import clean_cells
 from .lines import number_rows, scan_position
 from .paths import file_path, listing_options, resolve
@@ -30,6 +31,20 @@ def sniff_delimiter(text: str) -> str:
         return ","
 
 
+def _numbered_lines(
+    spark: SparkSession, roots: list[str], listing: dict[str, str], skip_header: bool, cells
+) -> DataFrame:
+    """Rows of files whose records are lines; ``cells`` maps a line to its cells."""
+    lines = spark.read.options(**listing).text(roots).select("value", *scan_position())
+    numbered = number_rows(lines, "_line")
+    rows = numbered.filter(F.col("_line") > 0) if skip_header else numbered
+    return rows.select(
+        cells(F.col("value")).alias("raw_data"),
+        file_path("_file").alias("_source_file"),
+        (F.col("_line") - int(skip_header)).alias("_row_index"),
+    )
+
+
 def _read(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -70,6 +85,15 @@ def _read(
         # Without quoting a backslash is an ordinary character, too.
         options["escape"] = "\x00"
     schema = ", ".join(f"`{n}` string" for n in names)
+    if row_index and not multi_line and encoding.lower() in ("utf-8", "utf8"):
+
+        def cells(line: Column) -> Column:
+            if not quote:
+                return F.split(line, "\t")
+            parsed = F.from_csv(line, schema, {k: options[k] for k in ("sep", "quote", "escape", "mode")})
+            return bind(parsed, lambda r: F.array(*[r[n] for n in names]))
+
+        return clean_cells(_numbered_lines(spark, roots, listing, skip_header, cells))
     cells = spark.read.schema(schema).options(**options).csv(roots)
     raw = F.array(*names).alias("raw_data")
     if not row_index:
@@ -99,7 +123,8 @@ def read_csv(
     head of the first file unless given; short rows are filled with empty cells.
     ``multi_line=False`` lets Spark split large files that have no line break inside a
     quoted cell.  Row numbers take a second, counting scan, which ``row_index=False``
-    saves; they leave out completely empty lines, which the parser skips.
+    saves.  They count blank rows, except that with ``multi_line`` the parser skips
+    completely empty lines.
     """
     if sep is None and suffix == "tsv":
         sep = "\t"

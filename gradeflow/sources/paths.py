@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 log = logging.getLogger(__name__)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+def exists(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path, or anything a glob pattern stands for, is there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(target)
+    return found is not None and len(found) > 0
 
 
 def resolve(

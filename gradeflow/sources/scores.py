@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.strict_json import parse_whole
-from .paths import file_path
+from .paths import exists, file_path
 
 RESULT_FILE = "statistical_analysis/result_stats.json"
 
@@ -27,7 +27,10 @@ def read_scores(spark: SparkSession, root: str, layout: str = "tree") -> DataFra
     leaves those out.
     """
     if layout == "tree":
-        files = spark.read.text(f"{root.rstrip('/')}/*/*/{RESULT_FILE}", wholetext=True)
+        found = f"{root.rstrip('/')}/*/*/{RESULT_FILE}"
+        if not exists(spark, found):
+            return spark.createDataFrame([], "model string, dataset string, score double")
+        files = spark.read.text(found, wholetext=True)
         pattern = r"([^/]+)/([^/]+)/" + RESULT_FILE.replace(".", r"\.") + "$"
         named = files.select(
             F.regexp_extract(file_path(), pattern, 1).alias("model"),

@@ -52,6 +52,16 @@ def test_csv_sniffs_the_delimiter(spark, tmp_path):
     assert sources.read_csv(spark, latin, encoding="iso-8859-1", sep=",").first()["raw_data"] == ["é", "ü"]
 
 
+def test_csv_of_single_lines(spark, tmp_path):
+    path = write(f"{tmp_path}/l.csv", 'h,h\n"1","a ""b"", c"\n\n , \n2,"x\\y"\n3\n')
+    rows = sources.read_csv(spark, path, multi_line=False, sep=",", width=2).orderBy("_row_index")
+    assert [(r["_row_index"], r["raw_data"]) for r in rows.collect()] == [
+        (0, ["1", 'a "b", c']), (3, ["2", "x\\y"]), (4, ["3", ""])]
+    unnumbered = sources.read_csv(spark, path, multi_line=False, sep=",", width=2, row_index=False)
+    assert sorted(r["raw_data"] for r in unnumbered.collect()) == [
+        ["1", 'a "b", c'], ["2", "x\\y"], ["3", ""]]
+
+
 def test_csv_without_files(spark, tmp_path):
     assert sources.read_csv(spark, f"{tmp_path}/nothing").count() == 0
 
@@ -61,6 +71,10 @@ def test_tsv_keeps_quotes(spark, tmp_path):
     rows = sources.read_tsv(spark, f"{tmp_path}/t.tsv").orderBy("_row_index")
     got = [r["raw_data"] for r in rows.collect()]
     assert got == [["1", '"open', "x\\y"], ["2", 'a "b" c', ""]]
+    # Blank rows are dropped, but counted.
+    assert [r["_row_index"] for r in rows.collect()] == [0, 3]
+    plain = sources.read_tsv(spark, f"{tmp_path}/t.tsv", row_index=False, width=3).collect()
+    assert sorted(r["raw_data"] for r in plain) == sorted(got)
     quoted = [r["raw_data"] for r in sources.read_csv(spark, f"{tmp_path}/q.tsv", suffix="tsv").collect()]
     assert quoted == []
     write(f"{tmp_path}/q.tsv", 'h\th\n1\t"a\tb"\n')
@@ -150,6 +164,7 @@ def test_score_tree(spark, tmp_path):
     assert scores.count() == len(files)
     got = {(r["model"], r["dataset"]): r["score"] for r in sources.valid_scores(scores).collect()}
     assert got == {("m 1+", "d1"): 12.35, ("m 1+", "d3"): 100.0, ("m3", "d1"): 10.0}
+    assert sources.read_scores(spark, f"{tmp_path}/nothing").count() == 0
     models, datasets = rollup.discover(scores)
     assert models.count() == 4 and datasets.count() == 4
 

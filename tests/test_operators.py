@@ -362,6 +362,8 @@ def test_minmax(spark):
                    ("a", "same"): 50.0, ("b", "same"): 50.0, ("a", "one"): 7.0}
     summary = [tuple(r) for r in rollup.normalization_summary(scaled, 2).collect()]
     assert summary == [("one", 7.0, 7.0, 7.0), ("same", 50.0, 50.0, 50.0)]
+    summary = [tuple(r) for r in rollup.normalization_summary(scaled, 2, raw=df).collect()]
+    assert summary == [("one", 7.0, 7.0, 7.0)]
     covered = {r["model"]: (r["valid"], r["missing"]) for r in rollup.coverage(df).collect()}
     assert covered == {"a": (3, 1), "b": (2, 1), "c": (1, 0), "d": (0, 1)}
 
