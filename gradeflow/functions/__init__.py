@@ -4,11 +4,13 @@ from .answers import extract_answer, extract_choice, extract_content, extract_re
 from .canonical import canonical_json, json_string
 from .logits import classify_logits
 from .prompts import generation_group_key, options_text, render_prompt, to_chat_request
+from .strict_json import parse_whole
 from .text import (
+    ascii_digits,
+    bind,
     clean_text,
     dataset_name,
     format_score,
-    is_blank,
     model_name,
     ngram_keys,
     ngrams,

@@ -40,10 +40,6 @@ def ascii_digits(col: Column) -> Column:
     return F.when(col.rlike(r"[^\x00-\x7f]"), F.translate(col, source, target)).otherwise(col)
 
 
-def is_blank(col: Column) -> Column:
-    return F.coalesce(strip(col) == "", F.lit(True))
-
-
 def clean_text(col: Column) -> Column:
     """URLs, handles and non-letters become one space each match."""
     return F.regexp_replace(col, F.lit(NOISE_PATTERN), F.lit(" "))
@@ -75,7 +71,8 @@ def preprocess(col: Column, stop_words: Iterable[str] = (), tokenizer=tokenize)
     and handles have to be blanked beforehand.
     """
     if tokenizer is tokenize:
-        clean = F.regexp_replace(col, F.lit(LINK_PATTERN), F.lit(" "))
+        blanked = F.regexp_replace(col, F.lit(LINK_PATTERN), F.lit(" "))
+        clean = F.when(col.contains("http") | col.contains("@"), blanked).otherwise(col)
     else:
         clean = strip(clean_text(col))
     return remove_stop_words(tokenizer(clean), stop_words)

@@ -15,8 +15,9 @@ def _struct(schema: str | T.StructType) -> T.StructType:
     return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
 
-def _empty(spark: SparkSession, fields: T.StructType, *extra: str) -> DataFrame:
-    return spark.createDataFrame([], fields).select("*", *[F.lit(None).alias(c) for c in extra])
+def _empty(spark: SparkSession, fields: T.StructType, **extra: str) -> DataFrame:
+    nulls = [F.lit(None).cast(kind).alias(name) for name, kind in extra.items()]
+    return spark.createDataFrame([], fields).select("*", *nulls)
 
 
 def read_json(
@@ -34,7 +35,7 @@ def read_json(
     roots = resolve(spark, paths, suffix, recursive)
     fields = _struct(schema)
     if not roots:
-        return _empty(spark, fields, "_source_file", "_row_index")
+        return _empty(spark, fields, _source_file="string", _row_index="long")
     reader = spark.read.options(**listing_options(suffix, recursive))
     docs = reader.text(roots, wholetext=True)
     text = strip(F.col("value"))
@@ -81,7 +82,7 @@ def read_jsonl(
     if labelled_paths is None:
         roots = resolve(spark, paths, suffix, recursive)
         if not roots:
-            return _empty(spark, fields, "_source_file")
+            return _empty(spark, fields, _source_file="string")
         text = spark.read.options(**listing_options(suffix, recursive)).text(roots)
         lines = text.select("value", file_path().alias("_source_file"))
         lines = exclude_paths(lines, F.col("_source_file"), exclude_path_patterns)

@@ -17,7 +17,9 @@ from ..operators.scoring import score_results
 RESPONSE_SCHEMA = "question_id string, model string, response string"
 
 
-def read_responses(spark: SparkSession, path: str, schema: str = RESPONSE_SCHEMA, files_per_trigger: int = 1000) -> DataFrame:
+def read_responses(
+    spark: SparkSession, path: str, schema: str = RESPONSE_SCHEMA, files_per_trigger: int = 1000
+) -> DataFrame:
     """JSON-lines responses from files as they are added to a folder."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
     return reader.json(path)

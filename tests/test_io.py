@@ -102,6 +102,8 @@ def test_jsonl_skips_bad_lines_and_files(spark, tmp_path):
     write(f"{tmp_path}/math.jsonl", '{"q": "skip"}\n')
     got = sources.read_jsonl(spark, str(tmp_path), "q string", exclude_path_patterns=["math.jsonl"])
     assert sorted(r["q"] for r in got.collect()) == ["x", "y"]
+    nothing = sources.read_jsonl(spark, f"{tmp_path}/absent", "q string")
+    assert nothing.dtypes == [("q", "string"), ("_source_file", "string")] and nothing.count() == 0
     # Counting does not touch any field, and must still see only good lines.
     assert got.count() == 2
 
