@@ -7,14 +7,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..functions.chars import SPACE
 from ..functions.text import ascii_digits, bind, strip
 from ..registry import formatters
 
 
 def clean_cells(df: DataFrame, cells: str = "raw_data") -> DataFrame:
     """trim every cell and drop rows whose cells are all blank."""
-    trimmed = df.withColumn(cells, F.transform(cells, lambda c: strip(F.coalesce(c, F.lit("")))))
-    return trimmed.filter(F.exists(cells, lambda c: c != ""))
+    filled = df.filter(F.exists(cells, lambda c: c.rlike(f"[^{SPACE}]")))
+    return filled.withColumn(cells, F.transform(cells, lambda c: strip(F.coalesce(c, F.lit("")))))
 
 
 @dataclass(frozen=True)

@@ -58,7 +58,10 @@ def parse_json_lines(lines: DataFrame, schema: str | T.StructType, keep: Sequenc
     """
     fields = _struct(schema)
     record = parse_whole(F.col("value"), fields)
-    parsed = lines.select(*keep, record.alias("_r")).filter(F.col("_r").isNotNull())
+    # A filter on a computed column is pushed below it and would parse every line twice;
+    # it is not pushed below a generator.
+    parsed = lines.select(*keep, F.explode_outer(F.array(record)).alias("_r"))
+    parsed = parsed.filter(F.col("_r").isNotNull())
     return parsed.select(*[F.col("_r")[f.name].alias(f.name) for f in fields.fields], *keep)
 
 
