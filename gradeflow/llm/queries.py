@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact, substring
+from . import bpe, exact, langid, licenses, substring
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -28,7 +28,19 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, ids=False)
 
 
-LLM_QUERIES = {f.__name__: f for f in (op4_substring_dedup, op5_exact_dedup, op8_byte_bpe)}
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), spans=False)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    network, languages = langid.fit(docs.where(~langid.held_out()))
+    return langid.identify(docs, network, languages).select(
+        "doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+LLM_QUERIES = {f.__name__: f for f in (op4_substring_dedup, op5_exact_dedup, op8_byte_bpe,
+                                      op9_license_scan, op10_language_id)}
 
 LLM_ORACLES = {
     "op5_exact_dedup": f"""
