@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact, langid, licenses, substring
+from . import bpe, exact, langid, licenses, substring, toxicity, warc
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -14,6 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(toxicity.sample(docs, labels.where(~toxicity.held_out())))
+    return toxicity.score_texts(docs, model).select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeated(table(spark, sf_dir, "documents"), text=False)
 
@@ -23,6 +30,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_records(warc.write_archives(table(spark, sf_dir, "pages")), content=False)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, ids=False)
@@ -39,7 +50,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
-LLM_QUERIES = {f.__name__: f for f in (op4_substring_dedup, op5_exact_dedup, op8_byte_bpe,
+LLM_QUERIES = {f.__name__: f for f in (op2_toxicity, op4_substring_dedup, op5_exact_dedup, op6_warc, op8_byte_bpe,
                                       op9_license_scan, op10_language_id)}
 
 LLM_ORACLES = {
@@ -49,4 +60,11 @@ LLM_ORACLES = {
                count(*) OVER (PARTITION BY low) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY low) AS kept, sha256(low) AS text_sha256
         FROM t""",
+    "op6_warc": """
+        WITH t AS (SELECT page_id, coalesce(html, '') AS body, encode(coalesce(html, '')) AS raw FROM pages),
+             g AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS best, octet_length(raw) AS n FROM t)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest,
+               CASE WHEN n < 1000 OR page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN n < 1000 OR page_id = best THEN NULL ELSE best END AS refers_to
+        FROM g""",
 }
