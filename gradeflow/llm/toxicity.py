@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import byte_table, flat_bytes, plain, small_blocks, word_bounds, word_hashes
 
-SAMPLE_ROWS = 6000     # labelled texts of each class that are learned from
+SAMPLE_ROWS = 2500     # labelled texts of each class that are learned from
 LEAST_TEXTS = 4        # texts of the sample that a word must stand in
+STEMS = (4, 5, 6, 7, 8)  # bytes of a word's beginning that are features beside the word
+LEVELS = (1, 2, 4)     # a feature counts anew when it stands this often
 PENALTY = 1.0          # weight of squared score changes under swapped identity terms
 DECAY = 2e-4
 STEPS = 300
@@ -35,15 +37,21 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def words_of(block: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Values of the words of all texts, A-Z lower-cased, and each text's first place."""
+    """Values of the words of all texts, A-Z lower-cased, and the text of each."""
     buf, offsets = flat_bytes(block.column("text"))
     buf = byte_table("lower")[buf]
     starts, ends, firsts = word_bounds(buf, offsets, "nonword")
-    return word_hashes(buf, starts, ends), firsts
+    doc = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
+    values, docs = [word_hashes(buf, starts, ends)], [doc]
+    for size in STEMS:  # what a word begins with; a mark keeps it apart from a whole word
+        long = ends - starts > size
+        values.append(word_hashes(buf, starts[long], starts[long] + size) ^ np.uint64(size))
+        docs.append(doc[long])
+    return np.concatenate(values), np.concatenate(docs)
 
 
 def _hash(words: list[str]) -> np.ndarray:
-    return words_of(pa.RecordBatch.from_arrays([pa.array([" ".join(words)])], ["text"]))[0]
+    return words_of(pa.RecordBatch.from_arrays([pa.array([" ".join(words)])], ["text"]))[0][:len(words)]
 
 
 def _swaps(vocabulary: np.ndarray) -> np.ndarray:
@@ -55,14 +63,19 @@ def _swaps(vocabulary: np.ndarray) -> np.ndarray:
     return out
 
 
-def features(values: np.ndarray, firsts: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (text, word of the vocabulary), each once."""
-    at = np.searchsorted(vocabulary, values)
-    at = np.minimum(at, len(vocabulary) - 1)
+def known(values: np.ndarray, docs: np.ndarray, vocabulary: np.ndarray):
+    """Text, place in the vocabulary and number of each known feature."""
+    at = np.minimum(np.searchsorted(vocabulary, values), len(vocabulary) - 1)
     there = vocabulary[at] == values
-    doc = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
-    pair = np.unique(doc[there] * np.int64(len(vocabulary)) + at[there])
-    return pair // len(vocabulary), pair % len(vocabulary)
+    pair, count = np.unique(docs[there] * np.int64(len(vocabulary)) + at[there], return_counts=True)
+    return pair // len(vocabulary), pair % len(vocabulary), count
+
+
+def levels(doc: np.ndarray, word: np.ndarray, count: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (text, weight): a weight for each level that the count reaches."""
+    there = [count >= level for level in LEVELS]
+    return (np.concatenate([doc[t] for t in there]),
+            np.concatenate([word[t] + k * size for k, t in enumerate(there)]))
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -86,25 +99,37 @@ def fit(rows: DataFrame, penalty: float = PENALTY, steps: int = STEPS) -> dict[s
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in small_blocks(batches):
-            values, firsts = words_of(block)
-            held = [np.unique(values[a:b]).tobytes() for a, b in zip(firsts[:-1], firsts[1:])]
-            yield pa.RecordBatch.from_arrays([block.column("label"), pa.array(held, pa.binary())], ["label", "words"])
-
-    found = rows.select("text", F.col("label").cast("int").alias("label")).mapInArrow(run, "label int, words binary").collect()
-    found = sorted((r.label, bytes(r.words)) for r in found)
-    y = np.array([label for label, _ in found], np.float64)
-    held = [np.frombuffer(words, np.uint64) for _, words in found]
+            values, docs = words_of(block)
+            order = np.lexsort((values, docs))
+            values, docs = values[order], docs[order]
+            edge = np.searchsorted(docs, np.arange(block.num_rows + 1))
+            held = [np.unique(values[a:b], return_counts=True) for a, b in zip(edge[:-1], edge[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [block.column("label"), pa.array([w.tobytes() for w, _ in held], pa.binary()),
+                 pa.array([n.astype(np.uint16 if n.max(initial=0) < 65536 else np.uint64).tobytes() for _, n in held], pa.binary())],
+                ["label", "words", "counts"])
+
+    found = (rows.select("text", F.col("label").cast("int").alias("label"))
+             .mapInArrow(run, "label int, words binary, counts binary").collect())
+    found = sorted((r.label, bytes(r.words), bytes(r.counts)) for r in found)
+    y = np.array([label for label, *_ in found], np.float64)
     if len(set(y)) < 2:
-        return {"words": np.zeros(0, np.uint64), "weights": np.zeros(0), "bias": 4.0 if y.any() else -4.0}
-    seen, counts = np.unique(np.concatenate(held), return_counts=True)
-    terms = np.concatenate([_hash(g) for g in IDENTITY])
-    vocabulary = np.union1d(seen[counts >= LEAST_TEXTS], terms)
-    firsts = np.concatenate([[0], np.cumsum([len(h) for h in held])]).astype(np.int64)
-    doc, word = features(np.concatenate(held), firsts, vocabulary)
-    swapped = _swaps(vocabulary)[word]
+        return {"words": np.zeros(0, np.uint64), "weights": np.zeros((0, len(LEVELS))), "bias": 4.0 if y.any() else -4.0}
+    held = [np.frombuffer(words, np.uint64) for _, words, _ in found]
+    number = np.concatenate([np.frombuffer(c, np.uint16 if 4 * len(c) == len(w) else np.uint64) for _, w, c in found]).astype(np.int64)
+    values = np.concatenate(held)
+    docs = np.repeat(np.arange(len(held)), [len(h) for h in held])
+    seen, texts = np.unique(values, return_counts=True)
+    vocabulary = np.union1d(seen[texts >= LEAST_TEXTS], np.concatenate([_hash(g) for g in IDENTITY]))
+    size, n = len(vocabulary), len(y)
+    place = np.minimum(np.searchsorted(vocabulary, values), size - 1)
+    there = vocabulary[place] == values
+    base = docs[there], place[there], number[there]
+    doc, word = levels(*base, size)
+    swapped = _swaps(vocabulary)[word % size] + word // size * size
     changed = np.unique(doc[swapped != word])
     among = np.isin(doc, changed)
-    n, size = len(y), len(vocabulary)
+    size *= len(LEVELS)
     weigh = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, n - y.sum()))
     w, bias = np.zeros(size), 0.0
     m, v = np.zeros(size + 1), np.zeros(size + 1)
@@ -126,7 +151,8 @@ def fit(rows: DataFrame, penalty: float = PENALTY, steps: int = STEPS) -> dict[s
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-5)
         w, bias = w - move[:-1], bias - move[-1]
-    keep = np.abs(w) > 0.02
+    w = w.reshape(len(LEVELS), -1).T
+    keep = np.abs(w).max(axis=1) > 0.02  # smaller weights move no score noticeably
     return {"words": vocabulary[keep], "weights": w[keep], "bias": float(bias)}
 
 
@@ -141,8 +167,8 @@ def score_texts(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col:
         for block in small_blocks(batches):
             total = np.full(block.num_rows, bias)
             if len(words):
-                doc, word = features(*words_of(block), words)
-                total += np.bincount(doc, weights[word], block.num_rows)
+                doc, word = levels(*known(*words_of(block), words), len(words))
+                total += np.bincount(doc, weights.T.ravel()[word], block.num_rows)
             score = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
             yield pa.RecordBatch.from_arrays(
                 [block.column("doc_id"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
