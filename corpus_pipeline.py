@@ -1,11 +1,61 @@
-"""Training-data pipeline; its stages are added as the operators they call are written."""
+"""Training-data pipeline: language, exact copies, near copies, test items, token round trip."""
 
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from gradeflow.llm import bpe, contamination, exact, langid, near
+from gradeflow.llm.common import written
+
+LEAST_SCORE = 0.4  # mean probability of the predicted language below which a text is rejected
+
+# Models, similarity links and token ids cannot be written in SQL; tests use brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or without a clear language, go."""
+    network, languages = langid.fit(docs.where(~langid.held_out()))
+    marked = langid.identify(docs, network, languages, carry=True)
+    return marked.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the largest id stays."""
+    return exact.exact_dedup(docs).where("kept").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of similar documents, the one with the smallest id stays."""
+    gone = near.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return contamination.contaminated(docs, items, carry=True).where("not contaminated").select("row.*")
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, and digests of the ids and of what they decode to."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.encode(docs, ranks, public_tokenizers.PATTERN).drop("decoded")
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("exact dedup", exact_dedup),
+    ("near dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("byte-level BPE", byte_bpe),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what each keeps is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact, langid, licenses, substring, toxicity, warc
+from . import bpe, contamination, exact, langid, licenses, near, substring, toxicity, warc
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(toxicity.sample(docs, labels.where(~toxicity.held_out())))
@@ -21,6 +25,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeated(table(spark, sf_dir, "documents"), text=False)
 
@@ -50,10 +58,41 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
-LLM_QUERIES = {f.__name__: f for f in (op2_toxicity, op4_substring_dedup, op5_exact_dedup, op6_warc, op8_byte_bpe,
+LLM_QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_toxicity, op3_decontamination, op4_substring_dedup, op5_exact_dedup, op6_warc, op8_byte_bpe,
                                       op9_license_scan, op10_language_id)}
 
 LLM_ORACLES = {
+    "op1_near_dedup": f"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all({LOWER.format("text")}, '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE
+                  WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3),
+                                                           lambda i: array_to_string(words[i:i + 4], ' '))
+                  WHEN len(words) > 0 THEN [array_to_string(words, ' ')] END) AS shingle FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (shingle)
+                   WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+        link AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+                 WHERE 100 * c >= 75 * (x.n + y.n - c)),
+        reach AS (SELECT doc_id, doc_id AS other FROM documents
+                  UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON link.a = reach.other)
+        SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(other) AS component_id,
+               doc_id = min(other) AS kept
+        FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
+    "op4_substring_dedup": """
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+        win AS (SELECT doc_id, unnest(range(1, len(words) - 48)) AS i,
+                       unnest(list_transform(range(1, len(words) - 48), lambda i: sha256(array_to_string(words[i:i + 49], ' ')))) AS h
+                FROM w WHERE len(words) >= 50),
+        low AS (SELECT h, min(doc_id) AS low FROM win GROUP BY h),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM win JOIN low USING (h) WHERE doc_id > low),
+        all_gone AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id),
+        each_word AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w),
+        kept AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.i) AS kept
+                 FROM each_word e ANTI JOIN gone g ON g.doc_id = e.doc_id AND g.i = e.i GROUP BY e.doc_id)
+        SELECT doc_id, len(words) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN all_gone USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op5_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {LOWER.format("coalesce(text, '')")} AS low FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY low) AS keep_id,
