@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, contamination, exact, langid, licenses, near, substring, toxicity, warc
+from . import bpe, contamination, exact, langid, licenses, near, substring, suffixes, toxicity, warc
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -42,6 +42,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(warc.write_archives(table(spark, sf_dir, "pages")), content=False)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeated_bytes(table(spark, sf_dir, "documents"), content=False)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, ids=False)
@@ -58,7 +62,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_toxicity, op3_decontamination, op4_substring_dedup, op5_exact_dedup, op6_warc, op8_byte_bpe,
+LLM_QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_toxicity, op3_decontamination, op4_substring_dedup, op5_exact_dedup, op6_warc, op7_suffix_dedup, op8_byte_bpe,
                                       op9_license_scan, op10_language_id)}
 
 LLM_ORACLES = {
