@@ -154,7 +154,6 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     count = size // INDEX_BYTES + 1
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []))
-    kind = f"struct<{rows.schema['row'].dataType.simpleString()[7:]}" if carry else ""
     out = rows.withColumn("hits", F.expr("cast(map() as map<bigint, double>)"))
     for part in range(count):
         held = wanted.where(F.expr(f"pmod(xxhash64(item_id, text), {count}) = {part}")).collect()  # a bounded part
@@ -177,7 +176,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays(
                     [*block.columns[:-1], pa.array(hits, pa.map_(pa.int64(), pa.float64()))], block.schema.names)
 
-        out = out.mapInArrow(run, "doc_id long, text string" + (f", row {kind}" if carry else "") + ", hits map<long,double>")
+        out = out.mapInArrow(run, out.schema)
     return out.select("doc_id", (F.size("hits") > 0).alias("contaminated"), F.sort_array(F.map_keys("hits")).alias("items"),
                       F.coalesce(F.array_max(F.map_values("hits")), F.lit(0.0)).alias("best_score"),
                       *(["row"] if carry else []))

@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from .common import small_blocks, written
 
@@ -95,8 +96,8 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.monotonically_increasing_id().alias("_radix_row"), F.col(id_col).cast("long").alias("_radix_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_radix_source"),
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_radix_in"))
-    schema = ("_radix_row long, _radix_order struct<id: long, row: long>, _radix_rep long, _radix_copies long, "
-              f"_radix_sha string, _radix_text binary, _radix_in {rows.schema['_radix_in'].dataType.simpleString()}")
+    schema = StructType.fromDDL("_radix_row long, _radix_order struct<id: long, row: long>, _radix_rep long, "
+                                "_radix_copies long, _radix_sha string, _radix_text binary").add(rows.schema["_radix_in"])
 
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in small_blocks(batches, "_radix_source", 8 << 20):

@@ -7,8 +7,9 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
-from .common import plain, small_blocks, flat_bytes
+from .common import flat_bytes, small_blocks
 
 HIDDEN = 8
 SPAN = 32           # bytes that the network sees at a time
@@ -188,5 +189,5 @@ def identify(docs: DataFrame, network: dict, languages: list[str], id_col: str =
                  *([block.column("row")] if carry else [])],
                 ["doc_id", "lang_pred", "score"] + (["row"] if carry else []))
 
-    more = f", row {rows.schema['row'].dataType.simpleString()}" if carry else ""
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double" + more)
+    schema = StructType.fromDDL("doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(run, schema.add(rows.schema["row"]) if carry else schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ SAMPLE_ROWS = 2500     # labelled texts of each class that are learned from
 LEAST_TEXTS = 4        # texts of the sample that a word must stand in
 STEMS = (4, 5, 6, 7, 8)  # bytes of a word's beginning that are features beside the word
 LEVELS = (1, 2, 4)     # a feature counts anew when it stands this often
-PENALTY = 1.0          # weight of squared score changes under swapped identity terms
+PENALTY = 1.0          # weight of squared changes of the log odds under swapped identity terms
 DECAY = 2e-4
 STEPS = 300
 
@@ -42,16 +43,27 @@ def words_of(block: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     buf = byte_table("lower")[buf]
     starts, ends, firsts = word_bounds(buf, offsets, "nonword")
     doc = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
-    values, docs = [word_hashes(buf, starts, ends)], [doc]
+    whole = word_hashes(buf, starts, ends)
+    values, docs = [whole], [doc]
+    # An identity term has no beginnings: they would stay behind when the term is swapped.
+    terms = _terms()
+    term = terms[np.minimum(np.searchsorted(terms, whole), len(terms) - 1)] == whole
     for size in STEMS:  # what a word begins with; a mark keeps it apart from a whole word
-        long = ends - starts > size
+        long = (ends - starts > size) & ~term
         values.append(word_hashes(buf, starts[long], starts[long] + size) ^ np.uint64(size))
         docs.append(doc[long])
     return np.concatenate(values), np.concatenate(docs)
 
 
 def _hash(words: list[str]) -> np.ndarray:
-    return words_of(pa.RecordBatch.from_arrays([pa.array([" ".join(words)])], ["text"]))[0][:len(words)]
+    buf, offsets = flat_bytes(pa.array([" ".join(words)]))
+    starts, ends, _ = word_bounds(buf, offsets, "nonword")
+    return word_hashes(buf, starts, ends)
+
+
+@functools.cache
+def _terms() -> np.ndarray:
+    return np.unique(np.concatenate([_hash(group) for group in IDENTITY]))
 
 
 def _swaps(vocabulary: np.ndarray) -> np.ndarray:
@@ -92,7 +104,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def fit(rows: DataFrame, penalty: float = PENALTY, steps: int = STEPS) -> dict[str, np.ndarray | float]:
     """Weights from (text, label) rows: cross entropy, decay, and ``penalty`` times the squared
-    change of the score when identity terms are swapped for others of their list.
+    change of the log odds when identity terms are swapped for others of their list.
 
     Only distinct word values of the sampled texts reach the driver. With one class or none the
     model has no words and a constant score.
@@ -120,7 +132,7 @@ def fit(rows: DataFrame, penalty: float = PENALTY, steps: int = STEPS) -> dict[s
     values = np.concatenate(held)
     docs = np.repeat(np.arange(len(held)), [len(h) for h in held])
     seen, texts = np.unique(values, return_counts=True)
-    vocabulary = np.union1d(seen[texts >= LEAST_TEXTS], np.concatenate([_hash(g) for g in IDENTITY]))
+    vocabulary = np.union1d(seen[texts >= LEAST_TEXTS], _terms())
     size, n = len(vocabulary), len(y)
     place = np.minimum(np.searchsorted(vocabulary, values), size - 1)
     there = vocabulary[place] == values
@@ -134,19 +146,15 @@ def fit(rows: DataFrame, penalty: float = PENALTY, steps: int = STEPS) -> dict[s
     w, bias = np.zeros(size), 0.0
     m, v = np.zeros(size + 1), np.zeros(size + 1)
 
-    def score(words, docs_):
-        return 1 / (1 + np.exp(-np.clip(np.bincount(docs_, w[words], n) + bias, -30, 30)))
-
     for step in range(1, steps + 1):
-        p = score(word, doc)
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(doc, w[word], n) + bias, -30, 30)))
         d = weigh * (p - y)
         g = np.bincount(word, d[doc], size) + DECAY * w
         if len(changed):
-            q = score(swapped[among], doc[among])
-            gap = np.zeros(n)
-            gap[changed] = penalty * 2 * (p - q)[changed] / n
-            g += np.bincount(word[among], (gap * p * (1 - p))[doc[among]], size)
-            g -= np.bincount(swapped[among], (gap * q * (1 - q))[doc[among]], size)
+            # The change is taken before the logistic curve, which would hide it in clear texts.
+            gap = np.bincount(doc[among], w[word[among]] - w[swapped[among]], n) * (2 * penalty / len(changed))
+            g += np.bincount(word[among], gap[doc[among]], size)
+            g -= np.bincount(swapped[among], gap[doc[among]], size)
         g = np.append(g, d.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-5)
