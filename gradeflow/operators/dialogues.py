@@ -84,6 +84,10 @@ def duplicate_groups(df: DataFrame, key: str, hash_col: str = "hash") -> DataFra
 
 
 def dedup_by_hash(df: DataFrame, key: str, hash_col: str = "hash") -> DataFrame:
-    """The row with the smallest key of every group of equal hashes."""
-    kept = duplicate_groups(df, key, hash_col).select(key)
-    return df.join(kept, key, "left_semi")
+    """The row with the smallest key of every group of equal hashes.
+
+    A null key is kept only where its group has no other; a null hash is a group like any.
+    """
+    kept = duplicate_groups(df, key, hash_col).select(F.col(key).alias("_key"), F.col(hash_col).alias("_hash"))
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col(hash_col).eqNullSafe(F.col("_hash"))
+    return df.join(kept, same, "left_semi")

@@ -77,7 +77,7 @@ def leaderboard(
     # width_bucket grows with the total; the highest range comes first.
     rng = F.width_bucket(F.col("total"), F.lit(0.0), F.lit(100.0), F.lit(buckets))
     board = (
-        per_model.withColumn("total", F.when(complete, total))
+        per_model.withColumn("total", F.when(complete & ~F.isnan(total), total))
         .withColumn("status", status)
         .withColumn("_range", rng)
     )

@@ -28,6 +28,7 @@ def write_results(
         .write.mode(mode)
         .partitionBy(*by)
         .option("maxRecordsPerFile", chunk_rows)
+        .option("ignoreNullFields", "false")
         .json(path)
     )
 
@@ -73,7 +74,7 @@ def summary_record(results: DataFrame, metrics: DataFrame, tasks_run: Sequence[s
     ``metrics`` has one row per run; those rows are what the record lists.
     """
     listed = metrics.agg(
-        F.array_sort(F.collect_list(F.to_json(F.struct(*metrics.columns)))).alias("metrics")
+        F.array_sort(F.collect_list(F.to_json(F.struct(*metrics.columns), {"ignoreNullFields": "false"}))).alias("metrics")
     )
     tasks = F.array(*[F.lit(t) for t in tasks_run]).cast("array<string>").alias("tasks_run")
     total = results.agg(F.count(F.lit(1)).alias("total_samples"))
@@ -88,7 +89,7 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K7: rows as JSON lines; the path has to end in ``.json`` or ``.jsonl``."""
     if not path.endswith((".json", ".jsonl")):
         raise ValueError("the path must end in .json or .jsonl")
-    df.write.mode(mode).json(path)
+    df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
 def preview(df: DataFrame, rows: int = 2) -> None:

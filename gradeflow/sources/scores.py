@@ -38,9 +38,8 @@ def read_scores(spark: SparkSession, root: str, layout: str = "tree") -> DataFra
             "value",
         )
     else:
-        named = spark.read.text(root).select(
-            F.col("model").cast("string"), F.col("dataset").cast("string"), "value"
-        )
+        # Given types keep names such as 007 or 1e3 as they are written.
+        named = spark.read.schema("value string, model string, dataset string").text(root)
     valid = parse_whole(F.col("value"), TEXT_BY_NAME).isNotNull()
     first = F.when(valid, F.regexp_extract("value", FIRST_NUMBER, 1).try_cast("double"))
     return named.select("model", "dataset", F.round(first * 100, 2).alias("score"))

@@ -274,3 +274,15 @@ def test_streamed_responses(spark, tmp_path):
            .option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start())
     job.awaitTermination()
     assert tuple(spark.table("streamed").first()) == ("m", 0.5, 1, 2)
+
+
+def test_names_and_nulls_survive_files(spark, tmp_path):
+    from gradeflow.sinks import write_json, write_metrics
+    from gradeflow.sources.scores import read_scores
+
+    metrics = spark.createDataFrame([("007", "1e3", 0.5, 1, 2)], "model string, dataset string, overall double, correct_count long, total_count long")
+    write_metrics(metrics, f"{tmp_path}/m")
+    row = read_scores(spark, f"{tmp_path}/m", layout="partitioned").first()
+    assert (row.model, row.dataset, row.score) == ("007", "1e3", 50.0)
+    write_json(spark.createDataFrame([(1, None)], "a long, b string"), f"{tmp_path}/x.jsonl")
+    assert spark.read.text(f"{tmp_path}/x.jsonl").first().value == '{"a":1,"b":null}'

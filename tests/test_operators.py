@@ -426,3 +426,10 @@ def test_count_rows(spark):
     counted, seen = metrics.count_rows(spark.range(17).toDF("x"))
     counted.collect()
     assert seen.get["rows"] == 17
+
+
+def test_rows_with_null_keys_stay(spark):
+    from gradeflow.operators.dialogues import dedup_by_hash
+
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (None, "a"), (None, "b"), (3, None)], "k long, hash string")
+    assert sorted(dedup_by_hash(df, "k").collect(), key=str) == sorted([(1, "a"), (None, "b"), (3, None)], key=lambda r: f"Row(k={r[0]}, hash={r[1]!r})")
