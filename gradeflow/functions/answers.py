@@ -107,6 +107,6 @@ def extract_content(response: Column) -> Column:
         is_envelope = error.isNotNull() | choices.isNotNull()
         return F.when(is_envelope, F.when(failed, F.lit("")).otherwise(content)).otherwise(response)
 
-    parsed = F.from_json(response, RESPONSE_SCHEMA, {"mode": "PERMISSIVE"})
-    opened = F.when(response.startswith("{"), bind(parsed, unpack)).otherwise(response)
+    parsed = F.from_json(strip(response), RESPONSE_SCHEMA, {"mode": "PERMISSIVE"})
+    opened = F.when(strip(response).startswith("{"), bind(parsed, unpack)).otherwise(response)
     return F.coalesce(opened, F.lit(""))

@@ -35,12 +35,15 @@ def render_prompt(df: DataFrame, template: str) -> Column:
     """Fill ``{name}`` placeholders of ``template`` from the sample's columns.
 
     The template is taken apart once, on the driver; what Spark evaluates is one
-    ``concat``.  Unknown or missing values render as the empty string.
+    ``concat``.  Unknown or missing values render as the empty string; a placeholder
+    that is no plain name, or has a format, is an error (write ``{{`` for a brace).
     """
     parts: list[Column] = []
-    for literal, name, _, _ in Formatter().parse(template):
+    for literal, name, spec, conversion in Formatter().parse(template):
         if literal:
             parts.append(F.lit(literal))
+        if name is not None and (not name.isidentifier() or spec or conversion):
+            raise ValueError(f"placeholder {name!r} of the prompt template is not a plain name")
         if name:
             parts.append(F.coalesce(_placeholder(df, name), F.lit("")))
     return F.concat(*parts) if parts else F.lit("")

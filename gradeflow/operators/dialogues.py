@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.canonical import canonical_json
@@ -43,15 +43,25 @@ def hash_turns(
     rows = (
         turns.select(F.col(key), F.col(order), piece.alias("_json"))
         .repartition(key)
-        .sortWithinPartitions(key, order)
+        .sortWithinPartitions(key, order, "_json")  # equal positions: by content
         .select(key, "_json")
     )
 
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state, count = None, None, 0
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state, count, kind = None, None, 0, None
+
+        def batch_of(done: list[tuple]) -> pa.RecordBatch:
+            keys, hashes, counts = zip(*done)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(keys, kind), pa.array(hashes, pa.string()), pa.array(counts, pa.int64())],
+                [key, "hash", "turn_count"],
+            )
+
         for batch in batches:
             done = []
-            for k, text in zip(batch[key], batch["_json"]):
+            kind = batch.column(0).type
+            # Python values: a null key equals a null key, and large integers stay exact.
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if state is None or k != current:
                     if state is not None:
                         state.update(b"]")
@@ -61,17 +71,16 @@ def hash_turns(
                     state.update(b", ")
                 state.update(text.encode("utf-8"))
                 count += 1
-            yield pd.DataFrame(done, columns=[key, "hash", "turn_count"])
+            if done:
+                yield batch_of(done)
         if state is not None:
             state.update(b"]")
-            yield pd.DataFrame(
-                [(current, state.hexdigest(), count)], columns=[key, "hash", "turn_count"]
-            )
+            yield batch_of([(current, state.hexdigest(), count)])
 
     out = T.StructType(
         [turns.schema[key], T.StructField("hash", T.StringType()), T.StructField("turn_count", T.LongType())]
     )
-    return rows.mapInPandas(digest, out)
+    return rows.mapInArrow(digest, out)
 
 
 def duplicate_groups(df: DataFrame, key: str, hash_col: str = "hash") -> DataFrame:

@@ -113,16 +113,26 @@ def rejects(formatted: DataFrame) -> DataFrame:
     return formatted.filter(F.col("reject_reason").isNotNull())
 
 
-def format_news_all(df: DataFrame, cells: str = "raw_data", keep: Sequence[str] = ()) -> DataFrame:
+def format_news_all(
+    df: DataFrame, cells: str = "raw_data", keep: Sequence[str] = (), id_parts: Sequence[Column] = ()
+) -> DataFrame:
     """F2 over positional cells, rejected rows included."""
     cell = lambda i: F.get(cells, F.lit(i))
-    return format_classification(df, NEWS, cell(0), cell(1), cell(2), keep=keep)
+    return format_classification(df, NEWS, cell(0), cell(1), cell(2), id_parts=id_parts, keep=keep)
 
 
 @formatters.register("AGNewsFormatter")
 def format_news(df: DataFrame) -> DataFrame:
-    """label, title and description cells to news topic samples."""
-    return accepted(format_news_all(df))
+    """label, title and description cells to news topic samples.
+
+    Where the reader gives a row's place, it is kept and is part of ``question_id``, so
+    that copies of a text are questions of their own.
+    """
+    place = [c for c in ("_source_file", "_row_index") if c in df.columns]
+    if len(place) < 2:
+        return accepted(format_news_all(df))
+    name = F.regexp_extract("_source_file", "[^/]*$", 0)
+    return accepted(format_news_all(df, keep=place, id_parts=[F.lit("\n"), name, F.lit("\n"), F.col("_row_index")]))
 
 
 # Option letters, which repeat after 52.

@@ -108,16 +108,30 @@ def head_biased_cap(
 ) -> DataFrame:
     """L2: the rows held when reading stops a file beyond ``100 * n`` rows in total.
 
-    Files count in name order; every later file still gives its first row.  Row counts
-    per file decide, so the cap is a filter on each row's own number.
+    Files count in name order; every later file still gives its first row.  Only rows
+    that are there count, not the blank ones that their numbers skip.  Row numbers are
+    counted in steps of ``100 * n + 1``, so no more than two steps of one file, which
+    hold at most that many rows each, are ever ordered.
     """
     if n == -1:
         return df
-    counts = df.groupBy(file).agg((F.max(row) + 1).alias("_rows"))
-    earlier = Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(file, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
-    held = (F.col("_before") + F.col(row) <= 100 * n) | (F.col(row) == 0)
-    return df.join(broadcast_if(before, file_count(df)), file).filter(held).select(*df.columns)
+    most = 100 * n + 1
+    steps = df.groupBy(file, F.floor(F.col(row) / most).alias("_step")).agg(F.count("*").alias("_rows"), F.min(row).alias("_first"))
+    # One row per step of a file: places of files and steps before each.
+    earlier = Window.partitionBy(file).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.withColumn("_inside", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    files = steps.groupBy(file).agg(F.sum("_rows").alias("_all"), F.min("_first").alias("_head"))
+    preceding = Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)
+    before = files.select(file, "_head", F.coalesce(F.sum("_all").over(preceding), F.lit(0)).alias("_before"))
+    wanted = (steps.join(broadcast_if(before, file_count(df)), file)
+              .filter((F.col("_before") + F.col("_inside") <= 100 * n) | (F.col("_first") == F.col("_head")))
+              .select(F.col(file).alias("_of"), "_step", "_before", "_inside"))
+    # At most two steps in all hold the first rows, and one more for each later file.
+    near = df.join(wanted, (F.col(file) == F.col("_of")) & (F.floor(F.col(row) / most) == F.col("_step")))
+    place = F.row_number().over(Window.partitionBy("_of", "_step").orderBy(row)) - 1 + F.col("_inside")
+    return (near.withColumn("_place", place)
+            .filter((F.col("_before") + F.col("_place") <= 100 * n) | (F.col("_place") == 0))
+            .select(*df.columns))
 
 
 def union_samples(frames: Sequence[DataFrame]) -> DataFrame:

@@ -44,13 +44,14 @@ def score_results(
     response: str = "response",
     extract=extract_choice,
     how: str = "inner",
-    check_unique: bool = False,
+    check_unique: bool = True,
 ) -> DataFrame:
     """Responses joined to their samples, with predicted answer and correctness.
 
     The prediction is made on the response side before the join, so that a plan which
-    only needs correctness shuffles a letter, not the text.  ``check_unique`` fails the
-    job if a sample key repeats, which would multiply rows.
+    only needs correctness shuffles a letter, not the text.  A sample key that repeats
+    would multiply rows and so falsify every count: the job fails, unless
+    ``check_unique=False`` says that this is wanted.
     """
     left = require_unique(samples, on) if check_unique else samples
     right = responses.withColumn("raw_answer", extract_content(F.col(response)))

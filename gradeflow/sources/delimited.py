@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import csv
+import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -18,12 +20,6 @@ RAW_SCHEMA = "raw_data array<string>, _source_file string, _row_index long"
 SNIFF_CHARS = 1024
 
 
-def _head(spark: SparkSession, root: str, options: dict[str, str]) -> str:
-    """The first lines of one file; only these reach the driver."""
-    rows = spark.read.options(**options).text(root).limit(64).collect()
-    return "\n".join(r["value"] for r in rows)
-
-
 def sniff_delimiter(text: str) -> str:
     try:
         return csv.Sniffer().sniff(text[:SNIFF_CHARS]).delimiter
@@ -31,6 +27,38 @@ def sniff_delimiter(text: str) -> str:
         return ","
 
 
+def _files_by_delimiter(spark: SparkSession, roots: list[str], listing: dict[str, str]) -> dict[str, list[str]]:
+    """Every file's delimiter, from its own first characters; only those and names reach the driver."""
+    lines = spark.read.options(**listing).text(roots).select(
+        F.substring("value", 1, SNIFF_CHARS).alias("value"), *scan_position()
+    ).filter("_block = 0")
+    # A task reads a file's first split in order, so its smallest ids are the first lines.
+    first = lines.groupBy("_file").agg(F.min("_at").alias("_from"))
+    head = lines.join(first, "_file").filter(F.col("_at") < F.col("_from") + SNIFF_CHARS)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "value"))), lambda x: x["value"]), "\n")
+    found: dict[str, list[str]] = {}
+    for row in head.groupBy(file_path("_file").alias("file")).agg(F.substring(text, 1, SNIFF_CHARS).alias("head")).collect():
+        found.setdefault(sniff_delimiter(row["head"]), []).append(row["file"])
+    return found
+
+
+def _field_count(record: Column, sep: str, quote: bool) -> Column:
+    """Fields of a record: separators outside quoted cells, and one more."""
+    literal = re.escape(sep)
+    if quote:
+        # Without doubled quotes a quoted cell has no quote inside.
+        record = F.regexp_replace(
+            F.replace(record, F.lit('""'), F.lit("")), f'(^|{literal})"[^"]*+"(?={literal}|$)', "$1"
+        )
+    return F.size(F.split(record, literal, -1))
+
+
+def _width(rows: DataFrame, record: str, sep: str, quote: bool) -> int:
+    """Fields of the widest record of all; none may lose a cell."""
+    others = [F.count(c) for c in rows.columns if c != record]  # Spark does not read broken records alone
+    return rows.agg(F.max(_field_count(F.col(record), sep, quote)), *others).first()[0] or 1
+
+
 def _numbered_lines(
     spark: SparkSession, roots: list[str], listing: dict[str, str], skip_header: bool, cells
 ) -> DataFrame:
@@ -63,37 +91,49 @@ def _read(
     if not roots:
         return spark.createDataFrame([], RAW_SCHEMA)
     listing = listing_options(suffix, recursive)
-    head = _head(spark, roots[0], listing) if sep is None or width is None else ""
-    sep = sep or sniff_delimiter(head)
-    if width is None:
-        style = {} if quote else {"quoting": csv.QUOTE_NONE}
-        records = csv.reader(head.splitlines(keepends=True), delimiter=sep, **style)
-        width = max((len(r) for r in records), default=1)
-    names = [f"_c{i}" for i in range(max(width, 1))]
+    if sep is None:
+        files = _files_by_delimiter(spark, roots, listing)
+        if len(files) > 1:
+            frames = [
+                _read(spark, paths, suffix=suffix, recursive=False, encoding=encoding, skip_header=skip_header,
+                      sep=own, quote=quote, width=width, multi_line=multi_line, row_index=row_index)
+                for own, paths in sorted(files.items())
+            ]
+            return reduce(DataFrame.unionByName, frames)
+        sep = next(iter(files), ",")
+    by_line = not multi_line and encoding.lower() in ("utf-8", "utf8") and (row_index or not quote)
+    reading = {
+        **listing, "sep": sep, "encoding": encoding, "quote": '"' if quote else "",
+        "escape": '"' if quote else "\x00", "multiLine": str(multi_line).lower(), "mode": "PERMISSIVE",
+    }
+    if width is None and not (by_line and not quote):
+        if by_line:
+            width = _width(spark.read.options(**listing).text(roots), "value", sep, quote)
+        else:
+            # A record of more than one field is kept whole in the last column.
+            broken = {"columnNameOfCorruptRecord": "_record"}
+            records = spark.read.schema("_c0 string, _record string").options(**reading, **broken).csv(roots)
+            width = _width(records, "_record", sep, quote)
+    names = [f"_c{i}" for i in range(max(width or 1, 1))]
     options = {
-        **listing,
-        "sep": sep,
-        "encoding": encoding,
+        **reading,
         "header": str(skip_header).lower(),
         "enforceSchema": "true",
-        "quote": '"' if quote else "",
-        "escape": '"' if quote else "\\",
-        "multiLine": str(multi_line).lower(),
-        "mode": "PERMISSIVE",
     }
-    if not quote:
-        # Without quoting a backslash is an ordinary character, too.
-        options["escape"] = "\x00"
     schema = ", ".join(f"`{n}` string" for n in names)
-    if row_index and not multi_line and encoding.lower() in ("utf-8", "utf8"):
+    if by_line:
 
         def cells(line: Column) -> Column:
             if not quote:
-                return F.split(line, "\t")
+                found = F.split(line, re.escape(sep), -1)
+                if width is None:
+                    return found
+                return F.concat(found, F.array_repeat(F.lit(""), F.greatest(F.lit(0), F.lit(width) - F.size(found))))
             parsed = F.from_csv(line, schema, {k: options[k] for k in ("sep", "quote", "escape", "mode")})
             return bind(parsed, lambda r: F.array(*[r[n] for n in names]))
 
-        return clean_cells(_numbered_lines(spark, roots, listing, skip_header, cells))
+        rows = clean_cells(_numbered_lines(spark, roots, listing, skip_header, cells))
+        return rows if row_index else rows.drop("_row_index")
     cells = spark.read.schema(schema).options(**options).csv(roots)
     raw = F.array(*names).alias("raw_data")
     if not row_index:
@@ -119,8 +159,9 @@ def read_csv(
     """Trimmed cells as ``raw_data``, with ``_source_file`` and ``_row_index``.
 
     The first record of every file is skipped unless ``skip_header=False``, also in
-    files without a header.  ``sep`` and ``width`` (number of fields) are taken from the
-    head of the first file unless given; short rows are filled with empty cells.
+    files without a header.  Unless given, ``sep`` is found for every file by its own
+    head, and ``width`` (number of fields) is that of the widest record, which takes a
+    scan; short rows are filled with empty cells.
     ``multi_line=False`` lets Spark split large files that have no line break inside a
     quoted cell.  Row numbers take a second, counting scan, which ``row_index=False``
     saves.  They count blank rows, except that with ``multi_line`` the parser skips

@@ -142,17 +142,20 @@ def stop_word_list(words: DataFrame, limit: int = 100_000) -> list[str]:
 def stop_word_filter(df: DataFrame, key: Sequence[str], tokens: str, words: DataFrame) -> DataFrame:
     """L6 for lists of any size: tokens that match no listed word, in order.
 
-    Tokens are exploded and anti-joined, then put back together by row key.  A row
-    whose tokens all vanish keeps an empty list.
+    Distinct tokens of a row are exploded and joined with the list; the row then drops
+    those that were found.  Rows are told apart by ``key`` and a hash of their tokens:
+    what a list of tokens loses depends on the list alone, so rows that repeat both get
+    the same, right result.  A row whose tokens all vanish keeps an empty list.
     """
-    parts = df.select(*key, F.posexplode_outer(tokens).alias("_at", "_token"))
-    parts = parts.filter(F.col("_token").isNotNull())
-    kept = parts.join(words, parts["_token"] == words["word"], "left_anti")
-    lists = kept.groupBy(*key).agg(
-        F.array_sort(F.collect_list(F.struct("_at", "_token"))).alias("_kept")
-    )
-    merged = df.join(lists, list(key), "left")
-    return merged.withColumn(
-        tokens,
-        F.coalesce(F.col("_kept._token"), F.array().cast("array<string>")),
-    ).drop("_kept")
+    same = F.xxhash64(F.col(tokens))
+    marked = df.withColumn("_list", same)
+    parts = marked.select(*key, "_list", F.explode(F.array_distinct(tokens)).alias("_token"))
+    found = parts.join(words.select(F.col("word").alias("_token")).distinct(), "_token", "left_semi")
+    lists = (found.groupBy(*key, "_list").agg(F.collect_set("_token").alias("_gone"))
+             .select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(key)], F.col("_list").alias("_key_list"), "_gone"))
+    on = F.col("_list") == F.col("_key_list")
+    for i, k in enumerate(key):
+        on = on & F.col(k).eqNullSafe(F.col(f"_key_{i}"))
+    none = F.array().cast("array<string>")
+    left = F.filter(F.coalesce(F.col(tokens), none), lambda t: t.isNotNull() & ~F.array_contains(F.coalesce("_gone", none), t))
+    return marked.join(lists, on, "left").withColumn(tokens, left).select(*df.columns)

@@ -62,6 +62,35 @@ def test_csv_of_single_lines(spark, tmp_path):
         ["1", 'a "b", c'], ["2", "x\\y"], ["3", ""]]
 
 
+def test_ragged_rows_and_delimiters_of_each_file(spark, tmp_path):
+    body = "".join("1\n" for _ in range(70)) + '2,"x, ""y""",z,w\n'
+    write(f"{tmp_path}/r/a.csv", "h\n" + body)
+    write(f"{tmp_path}/d/a.csv", "h,h,h\n1,a,b\n2,c,d\n")
+    write(f"{tmp_path}/d/b.csv", "h;h;h\n1;e;f\n2;g;h\n")
+    write(f"{tmp_path}/t/a.tsv", "h\n" + "1\n" * 70 + "2\tx\ty\tz\n")
+    for how in ({}, {"row_index": False}, {"multi_line": False}, {"multi_line": False, "row_index": False}):
+        cells = [r["raw_data"] for r in sources.read_csv(spark, f"{tmp_path}/r", sep=",", **how).collect()]
+        assert len(cells) == 71 and ["2", 'x, "y"', "z", "w"] in cells
+        both = [r["raw_data"] for r in sources.read_csv(spark, f"{tmp_path}/d", **how).collect()]
+        assert sorted(both) == [["1", "a", "b"], ["1", "e", "f"], ["2", "c", "d"], ["2", "g", "h"]]
+    for row_index in (True, False):
+        cells = [r["raw_data"] for r in sources.read_tsv(spark, f"{tmp_path}/t", row_index=row_index).collect()]
+        assert len(cells) == 71 and ["2", "x", "y", "z"] in cells
+
+
+def test_copies_of_a_text_are_questions_of_their_own(spark, tmp_path):
+    write(f"{tmp_path}/news.csv", "1,T,D\n" * 2 + "2,U,E\n")
+    config = {"class": "CSVDataLoader", "paths": [f"{tmp_path}/news.csv"], "skip_header": False, "sep": ",",
+              "formatter_name": "AGNewsFormatter"}
+    samples = evaluation.load_samples(spark, [config])
+    assert samples.select("question_id").distinct().count() == 3
+    answers = samples.select("question_id", F.lit("m").alias("model"), F.lit("news").alias("dataset"), F.lit("A").alias("response"))
+    assert evaluation.evaluate(samples, answers).metrics.select("correct_count", "total_count").first()[1] == 3
+    plain = {k: v for k, v in config.items() if k != "formatter_name"}
+    assert evaluation.load_samples(spark, [dict(plain, num=2)]).count() == 2
+    assert evaluation.load_samples(spark, [dict(plain, num=1, first=True)]).first()["_row_index"] == 0
+
+
 def test_csv_without_files(spark, tmp_path):
     assert sources.read_csv(spark, f"{tmp_path}/nothing").count() == 0
 

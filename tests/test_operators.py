@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from gradeflow.operators import (
     dialogues, formatting, inference, metrics, ranking, rollup, rouge, sampling, scoring,
 )
+from gradeflow.functions import prompts
+from gradeflow.sources.documents import stop_word_filter
 from gradeflow.sources.weights import flatten_weights, weights_frame
 
 
@@ -81,9 +83,9 @@ def test_score_results_joins_by_key(spark):
 def test_score_results_can_insist_on_unique_samples(spark):
     samples = spark.createDataFrame([("q", "A"), ("q", "A")], "question_id string, correct_answer string")
     responses = spark.createDataFrame([("q", "A")], "question_id string, response string")
-    assert scoring.score_results(samples, responses).count() == 2
+    assert scoring.score_results(samples, responses, check_unique=False).count() == 2
     with pytest.raises(Exception, match="duplicate key"):
-        scoring.score_results(samples, responses, check_unique=True).collect()
+        scoring.score_results(samples, responses).collect()
 
 
 def test_pick_option(spark):
@@ -262,6 +264,40 @@ def test_dedup_by_hash(spark):
     assert groups == {"a": (1, 2), "b": (2, 1)}
 
 
+def test_apply_model_keeps_large_ids_beside_nulls(spark):
+    df = spark.createDataFrame([(2**53 + 1, "a"), (None, "b")], "i long, prompt string")
+    got = inference.apply_model(df, lambda: (lambda prompts: prompts)).collect()
+    assert {(r["i"], r["response"]) for r in got} == {(2**53 + 1, "a"), (None, "b")}
+
+
+def test_hash_turns_with_null_and_large_keys(spark):
+    rows = [(2**53, 1, "a"), (2**53 + 1, 1, "a"), (None, 1, "a"), (None, 2, "b")]
+    df = spark.createDataFrame(rows, "k long, n int, content string").withColumn("role", F.lit("u"))
+    got = {r["k"]: r["turn_count"] for r in dialogues.hash_turns(df, "k", "n").collect()}
+    assert got == {2**53: 1, 2**53 + 1: 1, None: 2}
+
+
+def test_head_biased_cap_counts_rows_that_are_there(spark):
+    rows = [("a", i) for i in range(0, 600, 2)] + [("b", i) for i in range(1, 9)]
+    df = spark.createDataFrame(rows, "_source_file string, _row_index long").repartition(3)
+    got = sorted(tuple(r) for r in sampling.head_biased_cap(df, 1).collect())
+    assert got == [("a", i) for i in range(0, 202, 2)] + [("b", 1)]
+
+
+def test_stop_word_filter_with_repeated_keys(spark):
+    df = spark.createDataFrame([(1, ["a", "b"]), (1, ["c"]), (None, ["b"])], "k int, t array<string>")
+    words = spark.createDataFrame([("b",)], "word string")
+    got = sorted((r["t"] for r in stop_word_filter(df, ["k"], "t", words).collect()))
+    assert got == [[], ["a"], ["c"]]
+
+
+def test_prompt_template_of_unsupported_fields(spark):
+    df = spark.createDataFrame([("x",)], "scene string")
+    for template in ('{"answer": "{scene}"}', "{a.b}", "{scene!r}"):
+        with pytest.raises(ValueError):
+            prompts.render_prompt(df, template)
+
+
 def test_apply_model_batches_groups_and_failures(spark):
     df = spark.createDataFrame(
         [(i, f"p{i}", "hot" if i % 2 else "cold") for i in range(20)], "i int, prompt string, params string"
