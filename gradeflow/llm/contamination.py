@@ -15,7 +15,7 @@ THRESHOLD = 0.5        # part of the score that an item's own text would get
 OVERLAP = 0.6          # part of the question's and of the answer's word triples
 ANSWER = 0.25          # the last part of an item's words is its answer
 LEAST_PASSAGE = 64     # words; a passage is twice the longest item of its index, or this
-BLOCK_ITEMS = 16       # items in a block of a posting list
+BLOCK_ITEMS = 4        # items in a block of a posting list
 INDEX_BYTES = 16 << 20  # texts of one index; more items make more indexes
 
 
@@ -47,13 +47,19 @@ class Index:
             impact = rare[c] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / mean))
             for term, part in zip(c.tolist(), (impact / max(impact.sum(), 1e-9)).tolist()):
                 self.postings[term].append((item, part))
-        self.block_max: list[dict[int, float]] = []
+        # The postings cut into blocks, and the greatest part in each block.
+        self.pieces: list[dict[int, list[tuple[int, float]]]] = []
         for posting in self.postings:
-            best: dict[int, float] = {}
-            for item, part in posting:
-                best[item // BLOCK_ITEMS] = max(best.get(item // BLOCK_ITEMS, 0.0), part)
-            self.block_max.append(best)
-        self.most = np.array([max(b.values()) for b in self.block_max] or [0.0])
+            pieces: dict[int, list[tuple[int, float]]] = {}
+            for entry in posting:
+                pieces.setdefault(entry[0] // BLOCK_ITEMS, []).append(entry)
+            self.pieces.append(pieces)
+        bounds = [(block, max(p for _, p in piece)) for pieces in self.pieces for block, piece in pieces.items()]
+        self.bound_at = np.zeros(len(self.pieces) + 1, np.int64)
+        np.cumsum([len(p) for p in self.pieces], out=self.bound_at[1:])
+        self.bound_block = np.array([block for block, _ in bounds], np.int64)
+        self.bound = np.array([part for _, part in bounds], float)
+        self.most = np.array([max(p for piece in pieces.values() for _, p in piece) for pieces in self.pieces] or [0.0])
         self.parts = [self._parts(w) for w in self.words]
 
     @staticmethod
@@ -62,47 +68,58 @@ class Index:
         pieces = [p for p in (words[:cut], words[cut:]) if len(p)]
         return [(min(3, len(p)), np.unique(window_hashes(p, min(3, len(p))))) for p in pieces]
 
+    def open_blocks(self, terms: np.ndarray, threshold: float) -> list[int]:
+        """Blocks whose maxima over the terms add up to the threshold; no other holds a hit."""
+        sizes = self.bound_at[terms + 1] - self.bound_at[terms]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.bound_at[terms] - ends + sizes, sizes)
+        total = np.bincount(self.bound_block[at], self.bound[at])
+        return np.flatnonzero(total >= threshold - 1e-9).tolist()
+
     def search(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-        """Items whose score reaches the threshold: block-max WAND over the terms' postings."""
-        lists = [(self.postings[t], self.block_max[t], float(self.most[t])) for t in terms.tolist()]
+        """Items whose score reaches the threshold: block-max WAND over the terms' postings.
+
+        Blocks that their maxima rule out are skipped; in each of the others the lists are walked
+        from pivot to pivot under the maxima of that block.
+        """
+        blocks = self.open_blocks(terms, threshold)
+        if not blocks:
+            return []
+        own = [self.pieces[t] for t in terms.tolist()]
+        found = []
+        for block in blocks:
+            pieces = [p[block] for p in own if block in p]
+            found += self._walk(pieces, [max(part for _, part in piece) for piece in pieces], threshold)
+        return found
+
+    @staticmethod
+    def _walk(lists: list[list[tuple[int, float]]], most: list[float], threshold: float) -> list[tuple[int, float]]:
         at = [0] * len(lists)
+        live = list(range(len(lists)))
         found = []
-        live = [k for k in range(len(lists)) if lists[k][0]]
         while live:
-            live.sort(key=lambda k: lists[k][0][at[k]][0])
+            live.sort(key=lambda k: lists[k][at[k]][0])
             total, pivot = 0.0, -1
             for place, k in enumerate(live):
-                total += lists[k][2]
+                total += most[k]
                 if total >= threshold - 1e-12:
                     pivot = place
                     break
             if pivot < 0:
                 break  # all lists together cannot reach the threshold any more
-            item = lists[live[pivot]][0][at[live[pivot]]][0]
-            while pivot + 1 < len(live) and lists[live[pivot + 1]][0][at[live[pivot + 1]]][0] == item:
+            item = lists[live[pivot]][at[live[pivot]]][0]
+            while pivot + 1 < len(live) and lists[live[pivot + 1]][at[live[pivot + 1]]][0] == item:
                 pivot += 1
-            block = item // BLOCK_ITEMS
-            bound = sum(lists[k][1].get(block, 0.0) for k in live[:pivot + 1])
-            if bound < threshold - 1e-12:
-                # Nothing before the block's end, or before the next list begins, can reach it.
-                to = (block + 1) * BLOCK_ITEMS
-                if pivot + 1 < len(live):
-                    to = min(to, lists[live[pivot + 1]][0][at[live[pivot + 1]]][0])
-                to = max(to, item + 1)
-            else:
-                if lists[live[0]][0][at[live[0]]][0] == item:
-                    score = sum(lists[k][0][at[k]][1] for k in live[:pivot + 1])
-                    if score >= threshold - 1e-12:
-                        found.append((item, score))
-                    to = item + 1
-                else:
-                    to = item
+            to = item
+            if lists[live[0]][at[live[0]]][0] == item:
+                score = sum(lists[k][at[k]][1] for k in live[:pivot + 1])
+                if score >= threshold - 1e-12:
+                    found.append((item, score))
+                to = item + 1
             for k in live[:pivot + 1]:
-                posting, i = lists[k][0], at[k]
-                while i < len(posting) and posting[i][0] < to:
-                    i += 1
-                at[k] = i
-            live = [k for k in live if at[k] < len(lists[k][0])]
+                while at[k] < len(lists[k]) and lists[k][at[k]][0] < to:
+                    at[k] += 1
+            live = [k for k in live if at[k] < len(lists[k])]
         return found
 
     def verified(self, item: int, passage: np.ndarray, overlap: float) -> bool:
