@@ -95,8 +95,19 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """At most ``rows`` labelled texts of each class, drawn by a hash; null label or text: unused."""
     marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(
         "doc_id is not null and label in (0, 1)")
-    drawn = (marked.groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("draw", F.xxhash64("doc_id", F.lit("toxic")))
-             .withColumn("n", F.expr("row_number() over (partition by label order by draw, doc_id)"))
+    graded = (marked.groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("draw", F.xxhash64("doc_id", F.lit("toxic")))
+              .withColumn("slot", F.shiftright("draw", 52)))
+    # At most 4,096 counts a class say which leading bits hold the first rows; only those are ordered.
+    last: dict[int, int] = {}
+    held: dict[int, int] = {}
+    for r in sorted(graded.groupBy("label", "slot").count().collect(), key=lambda r: r.slot):
+        if held.get(r.label, 0) < rows:
+            held[r.label] = held.get(r.label, 0) + r["count"]
+            last[r.label] = r.slot
+    first = F.lit(False)
+    for label, slot in last.items():
+        first = first | ((F.col("label") == label) & (F.col("slot") <= slot))
+    drawn = (graded.where(first).withColumn("n", F.expr("row_number() over (partition by label order by draw, doc_id)"))
              .where(F.col("n") <= rows).select("doc_id", "label"))
     # At most 2 * rows ids and labels, so the texts are not shuffled.
     return plain(docs, id_col, text_col).where("text is not null").join(F.broadcast(drawn), "doc_id")
