@@ -13,6 +13,7 @@ from .common import byte_table, flat_bytes, small_blocks, window_hashes, word_bo
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5        # part of the score that an item's own text would get
 OVERLAP = 0.6          # part of the question's and of the answer's word triples
+WHOLE = 0.7            # part of all words of an item, in order and close together, that also suffices
 ANSWER = 0.25          # the last part of an item's words is its answer
 LEAST_PASSAGE = 64     # words; a passage is twice the longest item of its index, or this
 BLOCK_ITEMS = 4        # items in a block of a posting list
@@ -122,13 +123,38 @@ class Index:
             live = [k for k in live if at[k] < len(lists[k])]
         return found
 
-    def verified(self, item: int, passage: np.ndarray, overlap: float) -> bool:
-        """Question and answer both have enough of their word triples in the passage."""
-        for width, wanted in self.parts[item]:
-            there = np.isin(wanted, window_hashes(passage, width)).mean()
-            if there < overlap:
-                return False
-        return True
+    def verified(self, item: int, passage: np.ndarray, overlap: float, whole: float = WHOLE) -> bool:
+        """Question and answer both have enough of their word triples in the passage, or enough of
+        the item's words stand in their order in a stretch of the passage."""
+        if all(np.isin(wanted, window_hashes(passage, width)).mean() >= overlap for width, wanted in self.parts[item]):
+            return True
+        return self.aligned(item, passage, whole)
+
+    def aligned(self, item: int, passage: np.ndarray, whole: float) -> bool:
+        """A stretch of about one and a half times the item's words has enough of them in order."""
+        words = self.words[item]
+        n, least = len(words), whole * len(words) - 1e-9
+        here = np.flatnonzero(np.isin(passage, words))
+        step = max(1, n // 8)
+        begin = np.arange(0, len(passage), step)
+        first = np.searchsorted(here, begin)
+        last = np.searchsorted(here, begin + n + n // 2 + 2 + step)
+        some = last - first >= least
+        if not some.any():
+            return False
+        places: dict[int, int] = {}
+        for k, word in enumerate(words.tolist()):
+            places[word] = places.get(word, 0) | 1 << k
+        found = [places[word] for word in passage[here].tolist()]
+        full = (1 << n) - 1
+        for lo, hi in sorted(set(zip(first[some].tolist(), last[some].tolist()))):
+            free = full  # the zeros count the longest common subsequence
+            for match in found[lo:hi]:
+                taken = free & match
+                free = (free + taken | free - taken) & full
+            if n - free.bit_count() >= least:
+                return True
+        return False
 
     def scan(self, values: np.ndarray, threshold: float, overlap: float) -> dict[int, float]:
         """Items found in any passage of a text, with their best scores."""
@@ -160,8 +186,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     ``carry`` also the row itself as struct ``row``.
 
     Every passage of a text (two passages overlap by half and are twice the longest item) queries
-    a BM25 index of the items; what reaches the threshold is verified. Null or empty texts hold
-    no item; items without words or id are never found; equal items are all reported. One row per
+    a BM25 index of the items; what reaches the threshold is verified by the word triples of
+    question and answer, or else by the part of the whole item that stands in order, so that
+    changed words and a missing end are allowed for. Null or empty texts hold no item; items without words or id are never found; equal items are all reported. One row per
     row of ``docs``, no shuffle. Items beyond ``INDEX_BYTES`` of text are dealt to several indexes
     by hash; statistics are those of an item's own index.
     """

@@ -180,6 +180,36 @@ def test_contamination(spark):
     assert contamination.contaminated(frame(spark, rows), tests.limit(0)).where("contaminated").count() == 0
 
 
+def test_contamination_changed_and_cut(spark):
+    rng = random.Random(14)
+    pool = [f"w{k}" for k in range(400)]
+    items = [(n, rng.sample(pool, n)) for n in range(4, 60)]
+    rows, wanted = [], {}
+
+    def leak(k, words):
+        wanted[len(rows)] = k
+        rows.append((len(rows), " ".join([*rng.choices(pool, k=100), *words, *rng.choices(pool, k=100)])))
+
+    for n, words in items:
+        for at in range(n):
+            leak(n, [*words[:at], f"x{at}", *words[at + 1:]])
+        gone = set(rng.sample(range(n), max(1, n // 10)))
+        leak(n, [f"x{k}" if k in gone else w for k, w in enumerate(words)])
+        leak(n, [w for k, w in enumerate(words) if k not in gone])
+        leak(n, [v for k, w in enumerate(words) for v in ([w, f"x{k}"] if k in gone else [w])])
+        if n >= 7:
+            leak(n, words[:int(n * 0.85)])
+    # Half of an item's words, or all of them in another order, are not the item.
+    others = [(100_000 + n, " ".join([*rng.choices(pool, k=50), *f(words), *rng.choices(pool, k=50)]))
+              for n, words in items if n >= 20 for f in (lambda w: w[::-1], lambda w: w[:len(w) // 2])]
+    tests = spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id long, text string")
+    out = {}
+    for r in contamination.contaminated(frame(spark, rows + others), tests).collect():
+        out.setdefault(r.doc_id, set()).update(r["items"])
+    assert [i for i, k in wanted.items() if k not in out[i]] == []
+    assert not any(i - 100_000 in found for i, found in out.items() if i >= 100_000)
+
+
 def test_block_max_finds_what_scoring_everything_finds():
     rng = random.Random(9)
     pool = [f"w{k}" for k in range(60)]
