@@ -13,10 +13,10 @@ from .common import (as_long, byte_table, components, flat_bytes, mix, plain, sm
 
 SHINGLE = 5
 PERCENT = 75   # of the union that two documents must share
-TREES = 24     # a pair at the threshold shares a path of two tokens in a tree with 0.5625: it
-LEVELS = 2     # is missed by all trees with 0.4375 ** 24, below 1e-8
+TREES = 24     # a pair at the threshold shares a path of two tokens in a tree with 0.5625: no
+LEVELS = 2     # tree brings it to one node with 0.4375 ** 24, below 1e-8; in a node nothing is lost
 LEAF = 24      # members outside its largest component up to which a node is compared exhaustively
-BRANCHES = 2   # tokens that each further level selects
+RANKS = 20     # bits of the table of counts that orders tokens from rare to frequent
 
 
 def shingle_sets(block: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -109,8 +109,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents with equal sets are one class and only its smallest id goes on. Each tree takes a
     class down a path of selected minwise tokens to a node. In every node all members are
     compared with its smallest one. Where members are then still in different components, nodes
-    with few members outside their largest component are compared exhaustively across components
-    and the others branch further, until none is left. Links are confirmed on whole sets, so only confirmed ones count.
+    with few members outside their largest component are compared exhaustively across components;
+    the members of the others go through an exact join on the rarest tokens of their sets. Links
+    are confirmed on whole sets, so only confirmed ones count.
 
     Null or empty text has no shingles and is linked with nothing. A null id gets a null
     component and is not kept; rows that repeat an id are one document in the links.
@@ -126,41 +127,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         classes.select("s1", "s2", "n_shingles", "rep"), ["s1", "s2", "n_shingles"]).select(
         F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a != b")
     links = written(same.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "same")
-    reps, depth = None, 0
-    while True:
-        heads = nodes.groupBy("node").agg(F.min(F.struct("rep", "n")).alias("head"), F.max("rep").alias("last"),
-                                          F.count("*").alias("members")).where("head.rep < last")
-        nodes = written(nodes.join(heads.drop("last"), "node"), "nodes")
-        star = _sized(nodes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("head.rep").alias("b"),
-                                   F.col("head.n").alias("nb")), percent)
-        star = written(star, "star")
-        new = written(_linked(star, named, percent), "links")
-        reps = new if reps is None else reps.unionByName(new)
-        groups = written(components(reps), "groups")
-        mixed = (nodes.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
-                 .withColumn("component", F.coalesce("component", "rep")))
-        mixed = written(mixed.join(mixed.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-                                   .where("low < high").select("node"), "node", "left_semi")
-                        .select("node", "rep", "n", "component", "members"), "mixed")
-        # Members outside the largest component of a node; where they are few, they are compared
-        # with all members of other components: at most leaf rows for a member.
-        parts = mixed.groupBy("node", "component").agg(F.count("*").alias("size"))
-        most = parts.groupBy("node").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("all")).select(
-            "node", F.col("top.component").alias("top"), (F.col("all") - F.col("top.size")).alias("outside"))
-        mixed = written(mixed.join(most, "node"), "mixed")
-        few = mixed.where(F.col("outside") <= leaf)
-        left = few.where("component != top").select("node", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-        right = few.select("node", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-        more = written(_sized(left.join(right, "node").where("ca != cb"), percent).join(
-            star, ["a", "b"], "left_anti"), "cross")
-        if not more.isEmpty():
-            reps = reps.unionByName(written(_linked(more, named, percent), "links"))
-        large = mixed.where(F.col("outside") > leaf)
-        if large.isEmpty():
-            break
-        # Later levels select one token, so that what is left shrinks from level to level.
-        nodes = _deeper(large, named, BRANCHES if depth < 3 else 1)
-        depth += 1
+    heads = nodes.groupBy("node").agg(F.min(F.struct("rep", "n")).alias("head"), F.max("rep").alias("last"),
+                                      F.count("*").alias("members")).where("head.rep < last")
+    nodes = written(nodes.join(heads.drop("last"), "node"), "nodes")
+    star = _sized(nodes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("head.rep").alias("b"),
+                               F.col("head.n").alias("nb")), percent)
+    star = written(star, "star")
+    reps = written(_linked(star, named, percent), "links")
+    groups = written(components(reps), "groups")
+    mixed = (nodes.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
+             .withColumn("component", F.coalesce("component", "rep")))
+    mixed = written(mixed.join(mixed.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+                               .where("low < high").select("node"), "node", "left_semi")
+                    .select("node", "rep", "n", "component", "members"), "mixed")
+    # Members outside the largest component of a node; where they are few, they are compared
+    # with all members of other components: at most leaf rows for a member.
+    parts = mixed.groupBy("node", "component").agg(F.count("*").alias("size"))
+    most = parts.groupBy("node").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("all")).select(
+        "node", F.col("top.component").alias("top"), (F.col("all") - F.col("top.size")).alias("outside"))
+    mixed = written(mixed.join(most, "node"), "mixed")
+    few = mixed.where(F.col("outside") <= leaf)
+    left = few.where("component != top").select("node", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    right = few.select("node", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    more = written(_sized(left.join(right, "node").where("ca != cb"), percent).join(
+        star, ["a", "b"], "left_anti"), "cross")
+    large = mixed.where(F.col("outside") > leaf).select(F.col("rep").alias("doc_id"), "component").distinct()
+    large = written(large, "large")
+    if not large.isEmpty():
+        more = more.unionByName(_rare(large, named, percent).join(star, ["a", "b"], "left_anti")).distinct()
+        more = written(more, "cross")
+    if not more.isEmpty():
+        reps = reps.unionByName(written(_linked(more, named, percent), "links"))
     everything = links.unionByName(reps.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     groups = components(everything)
     return (described.join(groups, described.doc_id == groups.node, "left")
@@ -169,27 +166,53 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")))
 
 
-def _deeper(large: DataFrame, named: DataFrame, branches: int) -> DataFrame:
-    """The children of large nodes: every member selects a few more tokens in each node it is in."""
-    members = large.groupBy("rep").agg(F.collect_set("node").alias("nodes"))  # at most its nodes in all trees
+def _rare(large: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of different components that can be similar enough, by a prefix filter.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Tokens are in one fixed order, about from rare to frequent. The first token that a similar
+    pair shares is among the first ``n - needed + 1`` of both sets: in the smaller (n, id) set at
+    least 2 * percent / (100 + percent) of its tokens are needed, in the greater one percent / 100.
+    The order only decides how many pairs there are to confirm, so counts by hash suffice.
+    """
+    spark = named.sparkSession
+    members = named.join(large, "doc_id").select("doc_id", "text", "component")
+    shift = np.uint64(64 - RANKS)
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in small_blocks(batches):
+            slot, n = np.unique(shingle_sets(block)[0] >> shift, return_counts=True)
+            yield pa.RecordBatch.from_arrays([as_long(slot), pa.array(n.astype(np.int64))], ["slot", "n"])
+
+    found = members.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << RANKS, np.int64)  # at most one row for each slot comes to the driver
+    counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    shared = spark.sparkContext.broadcast(counts)
+
+    def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in small_blocks(batches):
             values, offsets = shingle_sets(block)
-            out, rep, size = [], [], []
-            ids = block.column("doc_id").to_pylist()
-            for row, nodes in enumerate(block.column("nodes").to_pylist()):
-                own = values[offsets[row]:offsets[row + 1]]
-                if not len(own):
-                    continue
-                for path in np.array(nodes, np.int64).view(np.uint64):
-                    for k in range(branches):
-                        start = mix(np.array([path], np.uint64) + np.uint64(k + 2))
-                        out.append(branch(own, np.array([0, len(own)]), start)[0])
-                        rep.append(ids[row])
-                        size.append(len(own))
+            sizes = np.diff(offsets)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            values = values[np.lexsort((values, shared.value[values >> shift], row))]
+            at, n = np.arange(len(values)) - offsets[row], sizes[row]
+            keep = at <= n - -(-percent * n // 100)
+            values, row, at, n = values[keep], row[keep], at[keep], n[keep]
+            ids, component = (block.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "component"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rep, pa.int64()), pa.array(size, pa.int64()), as_long(np.array(out, np.uint64))], ["rep", "n", "node"])
-
-    return (named.join(members.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text", "nodes")
-            .mapInArrow(run, "rep long, n long, node long"))
+                [as_long(values), pa.array(ids[row]), pa.array(n), pa.array(at), pa.array(component[row]),
+                 pa.array(at <= n - -(-2 * percent * n // (100 + percent)))],
+                ["token", "rep", "n", "at", "component", "early"])
+
+    rows = written(members.mapInArrow(
+        prefixes, "token long, rep long, n long, at long, component long, early boolean"), "prefixes")
+    # One side is outside the largest component of its token: a large group is not paired with itself.
+    parts = rows.groupBy("token", "component").agg(F.count("*").alias("size"))
+    top = parts.groupBy("token").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("kinds")).where(
+        "kinds > 1").select("token", F.col("top.component").alias("top"))
+    rows = written(rows.join(top, "token"), "rare")
+    left, right = rows.where("component != top").alias("x"), rows.alias("y")
+    pairs = left.join(right, F.expr(f"""x.token = y.token and x.component != y.component
+        and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)
+        and if(struct(x.n, x.rep) < struct(y.n, y.rep), x.early, y.early)
+        and {100 + percent} * least(x.n - x.at, y.n - y.at) >= {percent} * (x.n + y.n)"""))
+    return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).where("a < b").distinct()

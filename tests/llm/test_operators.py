@@ -63,6 +63,14 @@ def test_near(spark, leaf):
         (i, len(s), find(i), find(i) == i) for i, s in sets.items())
 
 
+def test_near_template_just_below_the_threshold(spark):
+    # 200 shingles, 171 of the template: 171 / 229 is not enough; a pair's common word makes it 172 / 228.
+    template = [f"t{k}" for k in range(175)]
+    rows = [(i, " ".join([*template, f"pair{i // 2}", *(f"own{i}.{k}" for k in range(28))])) for i in range(1000)]
+    out = near.near_duplicates(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == [(i, 200, i - i % 2) for i in range(1000)]
+
+
 def test_near_null_id_and_empty(spark):
     docs = frame(spark, [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f")])
     out = near.near_duplicates(docs).collect()
