@@ -8,17 +8,33 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gradeflow.llm import bpe, contamination, exact, langid, near
 from gradeflow.llm.common import written
 
-LEAST_SCORE = 0.4  # mean probability of the predicted language below which a text is rejected
+# Mean probability of the predicted language below which a text is rejected: this part of the way
+# from a guess among the learned languages to certainty, 0.4 for four languages.
+LEAST_SURE = 0.2
 
 # Models, similarity links and token ids cannot be written in SQL; tests use brute force.
 ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without a clear language, go."""
+    """Documents without a letter, or without a clear language, go.
+
+    The least score is ``LEAST_SURE`` of the way from 1 / languages to 1; a single language rejects
+    nothing. Labels teach from the rows that are not held out, or from all rows if none of those
+    is labelled. Where no row is labelled, nothing can be told apart and every document with a
+    letter stays.
+    """
     network, languages = langid.fit(docs.where(~langid.held_out()))
+    if not languages:
+        network, languages = langid.fit(docs)
+    if not languages:
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
     marked = langid.identify(docs, network, languages, carry=True)
-    return marked.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    return marked.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score(len(languages)))).select("row.*")
+
+
+def least_score(languages: int) -> float:
+    return 1 / languages + LEAST_SURE * (1 - 1 / languages) if languages > 1 else 0.0
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import base64
 import re
+import zlib
 
 import corpus_pipeline
 import public_tokenizers
@@ -36,3 +37,21 @@ def test_stages(spark):
     final = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in final} == set(kept["benchmark decontamination"])
     assert all(r.ids == library.encode_ordinary(source[r.doc_id]) for r in final)
+
+
+def test_language_stage_keeps_what_it_cannot_judge(spark):
+    def kept(rows):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        return sorted(r.doc_id for r in corpus_pipeline.language_id(spark, docs, SF).collect())
+
+    texts = ["the cat is on the mat", "le chat est sur la table", "12 !", None, "", "Ж"]
+    assert kept([(i, t, None) for i, t in enumerate(texts)]) == [0, 1, 5]  # no label at all
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 3 == 1][:6]
+    # All labelled rows are held out; one language rejects nothing.
+    assert kept([(i, t, "en") for i, t in zip(held, texts)]) == sorted([held[0], held[1], held[5]])
+    assert len(kept([(i, texts[k % 2] * 20, "enfr"[k % 2 * 2:][:2]) for k, i in enumerate(held)])) == 6
+
+
+def test_language_cut_follows_the_number_of_languages():
+    cuts = [corpus_pipeline.least_score(n) for n in (1, 2, 4, 100)]
+    assert cuts[0] == 0 and 0.5 < cuts[1] < 0.7 and abs(cuts[2] - 0.4) < 1e-9 and 0.01 < cuts[3] < cuts[2]
