@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import functools
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -77,8 +76,23 @@ def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), offsets
 
 
-@functools.cache
+class Memo(dict):
+    """Values that a process keeps; it travels empty, and by value like the rest of the package."""
+
+    def __reduce__(self):
+        return Memo, ()
+
+
+_kept = Memo()
+
+
 def byte_table(kind: str) -> np.ndarray:
+    if kind not in _kept:
+        _kept[kind] = _byte_table(kind)
+    return _kept[kind]
+
+
+def _byte_table(kind: str) -> np.ndarray:
     if kind == "space":  # 0x20 and 0x09-0x0D
         out = np.zeros(256, bool)
         out[[0x20, *range(9, 14)]] = True
@@ -93,11 +107,12 @@ def byte_table(kind: str) -> np.ndarray:
     return out
 
 
-@functools.cache
 def powers(count: int, base: int) -> np.ndarray:
-    out = np.full(count, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    if (count, base) not in _kept:
+        out = np.full(count, base, np.uint64)
+        out[:1] = 1
+        _kept[count, base] = np.cumprod(out, dtype=np.uint64)
+    return _kept[count, base]
 
 
 def _power_pair(count: int) -> tuple[np.ndarray, np.ndarray]:
