@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
 from ..operators.ranking import leaderboard
 from ..operators.rollup import minmax_by_dataset, weighted_mean_rollup
-from ..session import shared_folder
 from ..sources.weights import Node
+from ..storage import keep
+
+__all__ = ["Report", "keep", "report"]
 
 
 @dataclass(frozen=True)
@@ -19,17 +20,6 @@ class Report:
     ranking: DataFrame
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back.
-
-    Reports use the scores several times; from the written table they do so without
-    repeating the evaluation, and a lost executor costs one small scan.
-    """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def report(scores: DataFrame, nodes: list[Node], normalized: bool = False, **ranking) -> Report:
     """Level scores and ranking from raw or min-max scaled scores."""
     used = minmax_by_dataset(scores) if normalized else scores

@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import bind
 from ..operators.formatting import clean_cells
+from ..storage import keep
 from .lines import number_rows, scan_position
 from .paths import file_path, listing_options, resolve
+from .quoted import read_quoted, splittable
 
 RAW_SCHEMA = "raw_data array<string>, _source_file string, _row_index long"
 
@@ -101,6 +103,9 @@ def _read(
             ]
             return reduce(DataFrame.unionByName, frames)
         sep = next(iter(files), ",")
+    if quote and multi_line and splittable(encoding):
+        rows = clean_cells(read_quoted(spark, roots, listing, sep, encoding, skip_header, width, keep))
+        return rows if row_index else rows.drop("_row_index")
     by_line = not multi_line and encoding.lower() in ("utf-8", "utf8") and (row_index or not quote)
     reading = {
         **listing, "sep": sep, "encoding": encoding, "quote": '"' if quote else "",
@@ -160,12 +165,14 @@ def read_csv(
 
     The first record of every file is skipped unless ``skip_header=False``, also in
     files without a header.  Unless given, ``sep`` is found for every file by its own
-    head, and ``width`` (number of fields) is that of the widest record, which takes a
-    scan; short rows are filled with empty cells.
-    ``multi_line=False`` lets Spark split large files that have no line break inside a
-    quoted cell.  Row numbers take a second, counting scan, which ``row_index=False``
-    saves.  They count blank rows, except that with ``multi_line`` the parser skips
-    completely empty lines.
+    head, and ``width`` (number of fields) is that of the widest record; short rows are
+    filled with empty cells.  Row numbers count blank rows.
+
+    Files are split over tasks, also where cells hold line breaks: a first scan finds how
+    every split starts (see ``quoted``), a second one parses it.  In UTF-16 and UTF-32 a
+    file is one task's, and its empty lines are not counted.  ``multi_line=False`` promises
+    that no cell holds a line break; rows are then parsed in the JVM, with a counting scan
+    for row numbers that ``row_index=False`` saves.
     """
     if sep is None and suffix == "tsv":
         sep = "\t"

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.strict_json import parse_whole
 from ..functions.text import strip
+from .arrays import elements
 from .lines import attach_line_labels, read_numbered_lines
 from .paths import exclude_paths, exists, file_path, listing_options, resolve
 
@@ -30,25 +31,18 @@ def read_json(
 ) -> DataFrame:
     """S3: one document per file; an array gives a row per element, an object one row.
 
-    Files that do not parse give no rows.  A document is parsed by one task.
+    Files that do not parse give no rows.  Arrays are split over tasks, also in one file
+    without line breaks (see ``arrays``); a single object is one task's.
     """
     roots = resolve(spark, paths, suffix, recursive)
     fields = _struct(schema)
     if not roots:
         return _empty(spark, fields, _source_file="string", _row_index="long")
-    reader = spark.read.options(**listing_options(suffix, recursive))
-    docs = reader.text(roots, wholetext=True)
-    text = strip(F.col("value"))
-    items = F.when(text.startswith("["), parse_whole(text, T.ArrayType(fields))).otherwise(
-        F.array_compact(F.array(parse_whole(text, fields)))
-    )
-    # The outer form keeps Spark from parsing once more just to filter empty documents.
-    rows = docs.select(
-        file_path().alias("_source_file"), F.posexplode_outer(items).alias("_at", "_item")
-    )
-    return rows.filter(F.col("_item").isNotNull()).select(
-        "_item.*", "_source_file", F.col("_at").cast("long").alias("_row_index")
-    )
+    found = elements(spark, roots, listing_options(suffix, recursive))
+    # A filter on a computed column would parse every element twice; below a generator it does not.
+    rows = found.select(file_path("_file").alias("_source_file"), F.col("_number").alias("_row_index"),
+                        F.explode_outer(F.array(parse_whole(F.col("text"), fields))).alias("_item"))
+    return rows.filter(F.col("_item").isNotNull()).select("_item.*", "_source_file", "_row_index")
 
 
 def parse_json_lines(lines: DataFrame, schema: str | T.StructType, keep: Sequence[str] = ()) -> DataFrame:

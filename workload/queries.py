@@ -13,6 +13,7 @@ from gradeflow.operators import (
 )
 from gradeflow.plans import evaluation, reporting
 from gradeflow.registry import formatters, run_analyzers
+from gradeflow.storage import new_folder
 from gradeflow.streaming import read_responses, running_accuracy
 
 from . import views
@@ -56,7 +57,7 @@ def parquet_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def csv_scan(spark: SparkSession, sf: str) -> DataFrame:
-    path = views.scratch(spark, "csv")
+    path = new_folder(spark, "csv")
     docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string"), "lang", "text")
     docs.write.options(
         header="true", quoteAll="true", escape='"',
@@ -71,7 +72,7 @@ def csv_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def tsv_scan(spark: SparkSession, sf: str) -> DataFrame:
-    path = views.scratch(spark, "tsv")
+    path = new_folder(spark, "tsv")
     line = F.concat_ws(
         "\t", F.col("doc_id").cast("string"), F.col("lang"),
         F.concat(F.lit('"'), F.regexp_replace("text", "[\t\r\n]", " ")),
@@ -86,7 +87,7 @@ def tsv_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def jsonl_scan(spark: SparkSession, sf: str) -> DataFrame:
-    path = views.scratch(spark, "jsonl")
+    path = new_folder(spark, "jsonl")
     docs = table(spark, sf, "documents")
     good = F.to_json(F.struct("doc_id", "lang", "text"))
     broken = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("{broken "), "lang"))
@@ -99,7 +100,7 @@ def jsonl_scan(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def json_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations written as one JSON array per file, then read back."""
-    path = views.scratch(spark, "json")
+    path = new_folder(spark, "json")
     turns = table(spark, sf, "conversations")
     body = F.to_json(F.struct("conv_id", "turn", "role", "text"))
     opening = F.when(F.col("turn") == 0, "[").otherwise(",")
@@ -118,7 +119,7 @@ def json_scan(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def line_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Records and labels in files side by side, matched by line number."""
-    path = views.scratch(spark, "lines")
+    path = new_folder(spark, "lines")
     record = F.to_json(F.struct("doc_id", "text"))
     record = F.when(F.col("doc_id") % 7 == 0, "{broken").otherwise(record)
     sides = F.array(
@@ -170,21 +171,21 @@ def row_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def score_files(spark: SparkSession, sf: str) -> DataFrame:
-    path = views.scratch(spark, "metrics")
+    path = new_folder(spark, "metrics")
     sinks.write_metrics(metrics.accuracy(views.results(spark, sf), ["model", "dataset"]), path)
     return sources.valid_scores(sources.read_scores(spark, path, layout="partitioned"))
 
 
 @query
 def score_document(spark: SparkSession, sf: str) -> DataFrame:
-    path = views.scratch(spark, "scores")
+    path = new_folder(spark, "scores")
     sinks.write_scores(sources.valid_scores(views.scores(spark, sf)), path)
     return sources.read_scores_json(spark, path, lines=True)
 
 
 @query
 def result_files(spark: SparkSession, sf: str) -> DataFrame:
-    path = views.scratch(spark, "results")
+    path = new_folder(spark, "results")
     slim = views.results(spark, sf).select("question_id", "model", "dataset", "is_correct")
     sinks.write_results(slim, path, chunk_rows=500)
     back = spark.read.schema(slim.schema).json(path)
@@ -535,7 +536,7 @@ def rouge_l_turns(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def arriving_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     """The responses once more, read as a stream of files."""
-    path, state = views.scratch(spark, "arriving"), views.scratch(spark, "arriving-state")
+    path, state = new_folder(spark, "arriving"), new_folder(spark, "arriving-state")
     schema = "question_id string, model string, response string"
     questions = views.samples(spark, sf)
     views.responses(questions).select("question_id", "model", "response").write.json(path)
@@ -613,7 +614,7 @@ def document_ngrams(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def filtered_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Turn tokens without any word that occurs in the benchmark."""
-    path = views.scratch(spark, "words")
+    path = new_folder(spark, "words")
     table(spark, sf, "benchmark").select(F.explode(text.tokenize(F.col("text")))).write.text(path)
     words = sources.read_stop_words(spark, path)
     turns = texts(spark, sf, "conversations", "conv_id", "turn").select(
@@ -707,7 +708,7 @@ def model_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def leaderboard_files(spark: SparkSession, sf: str) -> DataFrame:
-    path = views.scratch(spark, "leaderboard")
+    path = new_folder(spark, "leaderboard")
     sinks.write_leaderboard(_levels(spark, sf).level_scores, path)
     board = spark.read.parquet(path)
     return rounded(board, "total", *ranking.RANKED_DIMENSIONS, ranking.GATE_DIMENSION)
@@ -715,7 +716,7 @@ def leaderboard_files(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def level_files(spark: SparkSession, sf: str) -> DataFrame:
-    path = views.scratch(spark, "levels")
+    path = new_folder(spark, "levels")
     written = sinks.write_level_tables(_levels(spark, sf).level_scores, path)
     return spark.read.parquet(written[2]).drop("pos")
 

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gradeflow.operators.formatting import NEWS, accepted, format_classification
 from gradeflow.operators.metrics import accuracy
 from gradeflow.operators.rollup import scores_from_metrics
 from gradeflow.operators.scoring import score_results
-from gradeflow.plans.reporting import keep
-from gradeflow.session import shared_folder
 from gradeflow.sizes import spread
 from gradeflow.sources.weights import flatten_weights
+from gradeflow.storage import keep, new_folder
 
 MODELS = ["m0", "m1", "m2", "m3", "m4"]
 LANG_LABEL = {"en": "1", "fr": "2", "de": "3", "es": "4"}
@@ -57,11 +54,6 @@ def texts(spark: SparkSession, sf: str, name: str, *key: str) -> DataFrame:
     return spread(table(spark, sf, name), *key)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name under the shared folder, for data a query writes and reads."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def choose(key: Column, mapping: dict[str, str]) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv]), key)
 
