@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -19,6 +20,9 @@ LONG_CHARS = 1 << 16   # a document with such a run without white space is dealt
 TASK_LEAF = 1 << 14    # symbols of such a run that one task encodes
 CACHED_WORDS = 200_000
 IDS_IN_BATCH = 1 << 18
+BITS = 20              # of a token id
+NO_MERGE = 1 << 62
+BEYOND = 0x370         # texts of Latin letters alone take a simpler pattern
 
 # Contractions are tokens of their own; then letters, single digits, all else.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -66,7 +70,8 @@ class Vocabulary:
         model = spec["model"]
         ids, end = model["vocab"], model["end_of_word_suffix"] or ""
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(merges)}
+        # A pair's two ids as one number, to its rank and the merged id as one number.
+        self.merges = {ids[a] << BITS | ids[b]: rank << BITS | ids[a + b] for rank, (a, b) in enumerate(merges)}
         self.parts = {ids[a + b]: (ids[a], ids[b]) for a, b in merges}
         self.token = {i: t for t, i in ids.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         letters = byte_letters()
@@ -74,24 +79,36 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         longest = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, longest)) + ")").split if longest else lambda t: [t]
-        classes = CONTRACTIONS + r"|{L}+|{N}|[^\s{L}{N}]+"
+        classes = r"{L}+|" + CONTRACTIONS + r"|{N}|[^\s{L}{N}]+"
         self.words = regex.compile(classes.format(L=r"\p{L}", N=r"\p{N}")).findall
         known = {c: f"[\\p{{{c}}}--[{LATER}]]" for c in "LN"}
         self.words_exact = regex.compile("(?V1)" + classes.format(**known)).findall
-        self.later = regex.compile(f"[{LATER}]").search
-        self.known: dict[str, tuple[int, str, str]] = {}
+        low = {c: "".join(chr(k) for k in range(BEYOND) if unicodedata.category(chr(k))[0] == c) for c in "LN"}
+        space = "".join(chr(k) for k in range(BEYOND) if regex.match(r"\s", chr(k)))
+        self.words_low = re.compile(f"[{low['L']}]+|{CONTRACTIONS}|[{low['N']}]|[^{space}{low['L']}{low['N']}]+").findall
+        self.beyond = re.compile(f"[{chr(BEYOND)}-\U0010FFFF]").search
+        self.odd = re.compile(f"[{LATER}{''.join(map(chr, CAPITALS))}]").search
+        self.ids, self.texts = _Known(self), _Known(self)
         self._symbols: dict[int, tuple[int, ...]] = {}
 
-    def split(self, text: str) -> Iterator[str | int]:
+    def split(self, text: str) -> list[str | int]:
         """Words of the normalised text, and ids where the text holds a special token."""
-        for piece in self.cut(text) if "<" in text or not self.special else (text,):
-            if piece in self.special:
-                yield self.special[piece]
-            elif piece.isascii():
-                yield from self.words(piece.lower())
-            else:
-                low = unicodedata.normalize("NFC", piece).translate(CAPITALS).lower()
-                yield from (self.words_exact if self.later(low) else self.words)(low)
+        if "<" not in text:
+            return self._words(text)
+        out: list[str | int] = []
+        for piece in self.cut(text):
+            out += [self.special[piece]] if piece in self.special else self._words(piece)
+        return out
+
+    def _words(self, text: str) -> list[str]:
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        low = text.lower()
+        if not self.beyond(low):
+            return self.words_low(low)
+        if not self.odd(text):
+            return self.words(low)
+        return self.words_exact(text.translate(CAPITALS).lower())
 
     def start(self, word: str) -> list[int]:
         """A word as single symbols; the last one carries the word's end."""
@@ -106,42 +123,40 @@ class Vocabulary:
 
     def greedy(self, ids: list[int]) -> list[int]:
         """Always the pair of the lowest rank, the leftmost first, until none is left."""
-        merges = self.merges
+        get = self.merges.get
         if len(ids) > 2 * LEAF:
             return self._greedy_long(ids)
         ids = list(ids)
-        found = [merges.get(pair) for pair in zip(ids, ids[1:])]
-        while True:
-            best, at = None, -1
-            for i, merge in enumerate(found):
-                if merge is not None and (best is None or merge < best):
-                    best, at = merge, i
-            if best is None:
-                return ids
-            ids[at:at + 2] = [best[1]]
+        found = [get(a << BITS | b, NO_MERGE) for a, b in zip(ids, ids[1:])]
+        while found and (best := min(found)) != NO_MERGE:
+            at = found.index(best)
+            new = best & (1 << BITS) - 1
+            ids[at:at + 2] = [new]
             del found[at]
             if at:
-                found[at - 1] = merges.get((ids[at - 1], ids[at]))
+                found[at - 1] = get(ids[at - 1] << BITS | new, NO_MERGE)
             if at < len(found):
-                found[at] = merges.get((ids[at], ids[at + 1]))
+                found[at] = get(new << BITS | ids[at + 1], NO_MERGE)
+        return ids
 
     def _greedy_long(self, ids: list[int]) -> list[int]:
-        merges, n = self.merges, len(ids)
+        get, n = self.merges.get, len(ids)
         ids, after, before = list(ids), list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [(*m, i, p) for i, p in enumerate(zip(ids, ids[1:])) if (m := merges.get(p))]
-        queue = [(rank, i, new, pair) for rank, new, i, pair in queue]
-        heapq.heapify(queue)
+        queue: list[tuple[int, int, int]] = []  # merge, place, the pair it is for
 
         def offer(i: int, j: int) -> None:
-            if merge := merges.get((ids[i], ids[j])):
-                heapq.heappush(queue, (merge[0], i, merge[1], (ids[i], ids[j])))
+            pair = ids[i] << BITS | ids[j]
+            if (merge := get(pair)) is not None:
+                heapq.heappush(queue, (merge, i, pair))
 
+        for i in range(n - 1):
+            offer(i, i + 1)
         while queue:
-            _, i, new, (a, b) = heapq.heappop(queue)
+            merge, i, pair = heapq.heappop(queue)
             j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
+            if ids[i] < 0 or j >= n or ids[i] << BITS | ids[j] != pair:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = merge & (1 << BITS) - 1, -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
@@ -178,14 +193,24 @@ class Vocabulary:
     def decode(self, ids: Iterable[int]) -> str:
         return " ".join(map(self.token.__getitem__, ids))
 
-    def entry(self, word: str | int) -> tuple[int, str, str]:
-        """How many tokens a word has, their ids as text, and what they decode to."""
+    def entry(self, word: str | int) -> None:
+        """Keep a word's ids as text, and what they decode to."""
         ids = [word] if isinstance(word, int) else self.tree(self.start(word))
-        out = len(ids), " ".join(map(str, ids)), self.decode(ids)
-        if len(self.known) >= CACHED_WORDS:  # the cache only saves time
-            self.known.clear()
-        self.known[word] = out
-        return out
+        if len(self.ids) >= CACHED_WORDS:  # what is kept only saves time
+            self.ids.clear()
+            self.texts.clear()
+        self.ids[word], self.texts[word] = " ".join(map(str, ids)), self.decode(ids)
+
+
+class _Known(dict):
+    """What is known of words; a word not met before is encoded when it is asked for."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str | int) -> str:
+        self.vocabulary.entry(word)
+        return self[word]
 
 
 def _sha(text: str) -> str:
@@ -222,10 +247,9 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         for block in small_blocks(batches):
             rows = []
             for text in block.column("text").to_pylist():
-                known, entry = v.known, v.entry
-                found = [known.get(w) or entry(w) for w in v.split(text or "")]
-                spaced, decoded = " ".join([f[1] for f in found]), " ".join([f[2] for f in found])
-                rows.append((sum([f[0] for f in found]), _sha(spaced), _sha(decoded),
+                words = v.split(text or "")
+                spaced, decoded = " ".join(map(v.ids.__getitem__, words)), " ".join(map(v.texts.__getitem__, words))
+                rows.append((spaced.count(" ") + 1 if words else 0, _sha(spaced), _sha(decoded),
                              *((list(map(int, spaced.split())), decoded) if ids else ())))
             columns = [block.column("doc_id"), *[pa.array(c, t) for c, t in zip(zip(*rows), types[1:])]]
             yield pa.RecordBatch.from_arrays(columns, names)
