@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from ..sources.weights import Node, weights_frame
+from ..storage import keep
 
 
 def scores_from_metrics(metrics: DataFrame) -> DataFrame:
@@ -128,3 +129,41 @@ def weighted_mean_rollup(scores: DataFrame, nodes: list[Node]) -> DataFrame:
     return long.join(F.broadcast(tree), "pos").select(
         "pos", "path", "parent_path", "parts", "name", "level", "weight", "is_leaf", "model", "score"
     )
+
+
+NODE_COLUMNS = ("path", "parent_path", "level", "weight", "dataset")
+
+
+def rollup_table(scores: DataFrame, nodes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """A7 for a weight tree that is a table: model, path, level, score of every known node.
+
+    ``nodes`` has ``path``, ``parent_path``, ``level``, ``weight`` and ``dataset`` (null for inner
+    nodes); with ``by``, rows of ``nodes`` and ``scores`` share these columns and there is a tree
+    for each of their values, such as one per model.  Levels are joined from the deepest up,
+    each a combining aggregate over the edges of that level only, so the plan grows with the
+    depth and not with the number of nodes.  A node is known if a child with a score has a
+    weight; other nodes have no row.  A missing weight is 1.
+    """
+    edges = keep(nodes.select(*by, *NODE_COLUMNS).withColumn("weight", F.coalesce("weight", F.lit(1.0))), "edges")
+    known = scores.where(F.col("score").isNotNull() & ~F.isnan("score"))
+    # Several scores of a data set: the largest, as in the plan for small trees.
+    best = known.groupBy(*dict.fromkeys([*by, "model", "dataset"])).agg(F.max("score").alias("score"))
+    key = [*dict.fromkeys([*by, "model"])]
+    deepest = edges.agg(F.max("level")).first()[0] or 0
+    leaves = keep(edges.where("dataset IS NOT NULL").join(best, [*by, "dataset"]).select(
+        *key, "path", "parent_path", "level", "weight", "score"), "leaf-scores")
+    done = [leaves]
+    below = leaves.where(F.col("level") == deepest)
+    for level in range(deepest - 1, 0, -1):
+        total = F.sum("weight")
+        means = below.groupBy(*key, F.col("parent_path").alias("path")).agg(
+            F.when(total > 0, F.sum(F.col("weight") * F.col("score")) / total).alias("score"))
+        inner = edges.where((F.col("level") == level) & F.col("dataset").isNull()).drop("dataset")
+        here = keep(means.where("score IS NOT NULL").join(inner, [*by, "path"]).select(
+            *key, "path", "parent_path", "level", "weight", "score"), "level-scores")
+        done.append(here)
+        below = here.union(leaves.where(F.col("level") == level))
+    out = done[0]
+    for more in done[1:]:
+        out = out.union(more)
+    return out.select(*key, "path", "level", "score")

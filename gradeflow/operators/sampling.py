@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -85,6 +85,41 @@ def _sample_below_threshold(df: DataFrame, n: int, key: Sequence[str], seed: int
     return hashed.filter(F.col("_hash") < low).unionByName(edge).drop("_hash")
 
 
+SLOTS = 1 << 16
+
+
+def sample_each(df: DataFrame, by: str, sizes: Mapping[str, int] | int, key: Sequence[str], seed: int = 42) -> DataFrame:
+    """L1 for every value of ``by`` at once: exactly ``min(n, rows)`` rows of each, each with its own n.
+
+    ``sizes`` is one n, or one per value; -1 keeps all, and a value that is not named has none.  Rows
+    are drawn in the order of ``sample_key``, as ``sample_n`` draws them.  One scan counts rows by
+    the first bits of their hash; that tells for each value the slot in which its n-th
+    row lies.  A second scan keeps the rows up to there, and only that slot's rows are ordered.
+    """
+    slot = F.conv(F.substring("_hash", 1, 4), 16, 10).cast("int")
+    hashed = df.withColumn("_hash", sample_key(key, seed)).withColumn("_slot", slot)
+    if isinstance(sizes, Mapping):
+        named = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]) if sizes else F.create_map().cast("map<string,int>")
+        wanted = F.coalesce(F.try_element_at(named, F.col(by).cast("string")), F.lit(0))
+    else:
+        wanted = F.lit(sizes)
+    counts = hashed.groupBy(by, "_slot").agg(F.count("*").alias("_rows")).withColumn("_wanted", wanted)
+    earlier = Window.partitionBy(by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
+    # One row per value and slot, of which only those with the n-th row are kept.
+    cuts = (counts.withColumn("_before", before)
+            .where((F.col("_before") < F.col("_wanted")) & (F.col("_before") + F.col("_rows") >= F.col("_wanted")))
+            .select(F.col(by).alias("_of"), F.col("_slot").alias("_cut"), (F.col("_wanted") - F.col("_before")).alias("_more")))
+    drawn = hashed.withColumn("_wanted", wanted).where("_wanted <> 0").join(cuts, F.col(by).eqNullSafe(F.col("_of")), "left")
+    drawn = drawn.where("_wanted = -1 OR _cut IS NULL OR _slot <= _cut")  # no cut: fewer rows than wanted
+    inside = F.coalesce(F.col("_slot") < F.col("_cut"), F.lit(True)) | (F.col("_wanted") == -1)
+    # Only the last slot's rows of each value meet; the others are spread.
+    lane = F.when(inside, F.col("_slot")).otherwise(-1)
+    place = F.row_number().over(Window.partitionBy(by, lane).orderBy("_hash", *key))
+    return drawn.withColumn("_place", place).where(inside | (F.col("_place") <= F.col("_more"))).select(
+        *[F.col(f"`{c}`") for c in df.columns])
+
+
 def take(
     df: DataFrame, n: int, order_by: Sequence[str], single_task_rows: int = SINGLE_TASK_ROWS
 ) -> DataFrame:

@@ -24,6 +24,19 @@ def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.withColumn("_copies", count).filter(checked).drop("_copies")
 
 
+def last_responses(responses: DataFrame, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """One response per key: the last by ``order``; equal ones by their whole content.
+
+    ``max_by`` combines in the tasks that read, so a key that was sent very often moves one row
+    from each.
+    """
+    rest = [c for c in responses.columns if c not in key]
+    whole = F.struct(*[F.col(f"`{c}`") for c in rest])
+    at = F.struct(*[F.col(f"`{c}`") for c in order], F.to_json(whole).alias("_content"))
+    last = responses.groupBy(*key).agg(F.max_by(whole, at).alias("_last"))
+    return last.select(*key, *[F.col("_last")[c].alias(c) for c in rest])
+
+
 def score_columns(df: DataFrame, response: str = "response", extract=extract_choice) -> DataFrame:
     """R5 where sample and response already share a row."""
     answered = df.withColumn("raw_answer", extract_content(F.col(response)))
@@ -45,18 +58,30 @@ def score_results(
     extract=extract_choice,
     how: str = "inner",
     check_unique: bool = True,
+    run: Sequence[str] = ("model", "dataset"),
+    last_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Responses joined to their samples, with predicted answer and correctness.
 
     The prediction is made on the response side before the join, so that a plan which
     only needs correctness shuffles a letter, not the text.  A sample key that repeats
-    would multiply rows and so falsify every count: the job fails, unless
-    ``check_unique=False`` says that this is wanted.
+    would multiply rows and so falsify every count, and so would a question that a run
+    answers twice (``run`` names a run, by those of its columns that the responses have):
+    the job fails, unless ``check_unique=False`` says that this is wanted.  With
+    ``last_by`` the last response by these columns counts, ties by content, and the others do
+    not.  On a stream only samples are checked; see ``streaming.latest`` for what is sent again.
     """
     left = require_unique(samples, on) if check_unique else samples
     right = responses.withColumn("raw_answer", extract_content(F.col(response)))
     right = right.withColumn("predicted_answer", extract(F.col("raw_answer"))).drop(response)
-    return _mark_correct(left.join(right, list(on), how))
+    whose = [*on, *(c for c in run if c in right.columns and c not in on)]
+    if last_by is not None:
+        right = last_responses(right, whose, last_by)
+    joined = left.join(right, list(on), how)
+    if check_unique and last_by is None and not joined.isStreaming:
+        # Rows already stand by ``on`` here, so the check adds no shuffle to a join that shuffles.
+        joined = require_unique(joined, whose)
+    return _mark_correct(joined)
 
 
 def option_scores(

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.ranking import leaderboard, level_table, mark_top2, model_names
+from .layout import write_chunks, write_score_tree  # noqa: F401
 
 CHUNK_ROWS = 5000
 
