@@ -40,7 +40,8 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``cover``; two equal long windows always share such an anchor at the same shift. Only around
     anchors that stand in several documents are the long windows (two 64-bit values each)
     compared. Null text has no words. Rows with the same id are one document as far as
-    comparing goes; a null id removes nothing elsewhere and loses nothing.
+    comparing goes, and each loses the windows that stand in it; a null id removes nothing
+    elsewhere and loses nothing.
     """
     short = window - period + 1
     if short < 1 or {(a - b) % period for a in cover for b in cover} != set(range(period)):
@@ -73,6 +74,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             marks = np.zeros(len(values) + 1, np.int64)
             for row, at in enumerate(block.column("at")):
                 own = np.asarray(at.values.to_numpy(), np.int64) + firsts[row]
+                own = own[own < firsts[row + 1]]  # others stand in another text of the same id
                 np.add.at(marks, np.maximum(own - (period - 1), firsts[row]), 1)
                 np.add.at(marks, own + 1, -1)
             near = np.cumsum(marks)[:-1] > 0
@@ -88,20 +90,25 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                    .mapInArrow(windows, "a long, b long, doc_id long, at int"), "windows")
     first = long.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     hits = (long.join(first, ["a", "b"]).where("doc_id > low").groupBy("doc_id")
-            .agg(F.sort_array(F.collect_set("at")).alias("at")))
+            .agg(F.sort_array(F.collect_set(F.struct("at", "a"))).alias("at")))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in small_blocks(batches):
-            buf, starts, ends, firsts, _ = _values(block)
+            buf, starts, ends, firsts, values = _values(block)
             raw = buf.tobytes()
+            hashes = window_hashes(values, window).view(np.int64)
             rows = []
             for row, at in enumerate(block.column("at").to_pylist()):
                 lo, hi = int(firsts[row]), int(firsts[row + 1])
                 gone = np.zeros(hi - lo + 1, np.int64)
                 if at:
-                    places = np.asarray(at)
+                    # A window of another text of the same id is not this one's.
+                    places = np.array([hit["at"] for hit in at])
+                    inside = places + window <= hi - lo
+                    same = hashes[places[inside] + lo] == np.array([hit["a"] for hit in at])[inside]
+                    places = places[inside][same]
                     np.add.at(gone, places, 1)
-                    np.add.at(gone, np.minimum(places + window, hi - lo), -1)
+                    np.add.at(gone, places + window, -1)
                 left = np.flatnonzero(np.cumsum(gone)[:-1] == 0) + lo
                 kept = b" ".join(raw[s:e] for s, e in zip(starts[left].tolist(), ends[left].tolist()))
                 rows.append((hi - lo, hi - lo - len(left), hashlib.sha256(kept).hexdigest(), kept))

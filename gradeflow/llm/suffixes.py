@@ -173,7 +173,8 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     only are left out. Distinct slices with the same value are suffix-sorted together, in bins of
     bounded size; where a value has very many slices, its strings are dealt one by one by their
     own content. Null text is empty text. Rows that repeat an id are one document as far as
-    comparing goes; a null id removes nothing elsewhere and loses nothing.
+    comparing goes, and each loses the strings that stand in it; a null id removes nothing
+    elsewhere and loses nothing.
     """
     source = plain(docs, id_col, text_col)
     named = source.where("doc_id is not null")
@@ -241,18 +242,22 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     known = (distinct.repartition("h").sortWithinPartitions("h", "slice").select("h", "slice", "low")
              .mapInArrow(sort_bins, "h long, slice binary, lows array<long>"))
     hits = (every.join(known, ["h", "slice"]).where("exists(lows, low -> low < doc_id)")
-            .select("doc_id", "at", F.expr("transform(lows, low -> low < doc_id)").alias("gone"))
-            .groupBy("doc_id").agg(F.collect_list(F.struct("at", "gone")).alias("hits")))
+            .select("doc_id", "at", F.expr("transform(lows, low -> low < doc_id)").alias("gone"), F.xxhash64("slice").alias("mark"))
+            .groupBy("doc_id").agg(F.collect_list(F.struct("at", "gone", "mark")).alias("hits")))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for block in small_blocks(batches):
             rows = []
             for text, found in zip(block.column("text").to_pylist(), block.column("hits").to_pylist()):
                 raw = np.frombuffer((text or "").encode(), np.uint8)
                 marks = np.zeros(len(raw) + 1, np.int64)
                 for hit in found or ():
+                    piece = raw[hit["at"]:hit["at"] + len(hit["gone"]) + length - 1]
+                    if xxhash.xxh64_intdigest(piece, 42) != hit["mark"] % 2**64:
+                        continue  # a slice of another text of the same id; 42 is Spark's seed
                     at = hit["at"] + np.flatnonzero(hit["gone"])
-                    at = at[at + length <= len(raw)]
                     np.add.at(marks, at, 1)
                     np.add.at(marks, at + length, -1)
                 gone = np.cumsum(marks)[:-1] > 0

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import byte_table, flat_bytes, plain, small_blocks, word_bounds, word_hashes
+from .common import Memo, byte_table, flat_bytes, plain, small_blocks, word_bounds, word_hashes
 
 SAMPLE_ROWS = 2500     # labelled texts of each class that are learned from
 LEAST_TEXTS = 4        # texts of the sample that a word must stand in
@@ -18,6 +17,7 @@ LEVELS = (1, 2, 4)     # a feature counts anew when it stands this often
 PENALTY = 1.0          # weight of squared changes of the log odds under swapped identity terms
 DECAY = 2e-4
 STEPS = 300
+_kept = Memo()
 
 # Identity terms; those of one list can stand for one another in a sentence.
 IDENTITY = [
@@ -61,9 +61,10 @@ def _hash(words: list[str]) -> np.ndarray:
     return word_hashes(buf, starts, ends)
 
 
-@functools.cache
 def _terms() -> np.ndarray:
-    return np.unique(np.concatenate([_hash(group) for group in IDENTITY]))
+    if "terms" not in _kept:
+        _kept["terms"] = np.unique(np.concatenate([_hash(group) for group in IDENTITY]))
+    return _kept["terms"]
 
 
 def _swaps(vocabulary: np.ndarray) -> np.ndarray:
