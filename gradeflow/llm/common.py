@@ -27,7 +27,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 @atexit.register
 def _remove_scratch() -> None:
-    for spark, path in _scratch:
+    remove_scratch(_scratch)
+
+
+def remove_scratch(folders: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in folders:
         try:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
@@ -35,6 +39,21 @@ def _remove_scratch() -> None:
             return
 
 
+def scratch_since(count: int) -> list[tuple[SparkSession, str]]:
+    """The folders made after the first ``count`` ones."""
+    return _scratch[count:]
+
+
+def scratch_count() -> int:
+    return len(_scratch)
+
+
+def unread(folders: list[tuple[SparkSession, str]], df: DataFrame) -> list[tuple[SparkSession, str]]:
+    """Those of the folders that a frame does not read."""
+    files = df.inputFiles()
+    return [(spark, path) for spark, path in folders if not any(path.rsplit("/", 1)[-1] in f for f in files)]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a table in the shared folder: lineage ends here and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
