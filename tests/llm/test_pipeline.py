@@ -55,3 +55,27 @@ def test_language_stage_keeps_what_it_cannot_judge(spark):
 def test_language_cut_follows_the_number_of_languages():
     cuts = [corpus_pipeline.least_score(n) for n in (1, 2, 4, 100)]
     assert cuts[0] == 0 and 0.5 < cuts[1] < 0.7 and abs(cuts[2] - 0.4) < 1e-9 and 0.01 < cuts[3] < cuts[2]
+
+
+def test_columns_of_any_name_come_through(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
+    docs = docs.withColumn("a.h", docs.lang).withColumn("kept", docs.doc_id % 2 == 0).withColumn("row", docs.doc_id)
+    want = {r.doc_id: tuple(r) for r in docs.collect()}
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(step(spark, docs, SF).collect(), docs.schema)
+        rows = docs.collect()
+        assert rows and all(tuple(r) == want[r.doc_id] for r in rows)
+
+
+def test_scratch_of_a_stage_goes_with_the_next(spark):
+    import os
+
+    from gradeflow.session import shared_folder
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    first = dict(corpus_pipeline.STAGES)["exact dedup"](spark, docs, SF)
+    first.collect()
+    held = [p.rsplit("/", 1)[1] for _, p in corpus_pipeline._held]
+    assert held and all(os.path.isdir(f"{shared_folder(spark)}/{h}") for h in held)
+    corpus_pipeline.decontamination(spark, docs, SF).collect()
+    assert not any(os.path.isdir(f"{shared_folder(spark)}/{h}") for h in held)
