@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F, types as T
 
+from .numbers import float_text
+
 # Two-character escapes of JSON text; other control characters are \u00xx.
 ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
 
@@ -50,8 +52,7 @@ def canonical_json(col: Column, dtype: T.DataType) -> Column:
     elif isinstance(dtype, T.StringType):
         text = json_string(col)
     elif isinstance(dtype, (T.DoubleType, T.FloatType)):
-        # Spark's number text differs from JSON writers' in exponents, and so would the hash.
-        raise ValueError("canonical JSON has no floating-point numbers; pass them as text or decimals")
+        text = float_text(col)
     else:
         text = col.cast("string")
     return F.when(col.isNotNull(), text)

@@ -146,3 +146,21 @@ def test_a_file_sent_twice_changes_nothing(spark, tmp_path, keep_for):
         last[q, m] = max(last.get((q, m), mine), mine)
     want = {m: (sum(a == "ABCD"[int(q[1:]) % 4] for (q, x), (_, a) in last.items() if x == m), sum(x == m for _, x in last)) for m in ("m0", "m1")}
     assert got == want
+
+
+def test_doubles_as_json_writers_print_them(spark):
+    import struct
+
+    from gradeflow.functions.canonical import canonical_json
+    from gradeflow.functions.numbers import float_text
+
+    rng = random.Random(1)
+    values = [struct.unpack("<d", struct.pack("<Q", rng.getrandbits(64)))[0] for _ in range(20_000)]
+    values += [rng.random() * 10 ** rng.randint(-8, 22) for _ in range(20_000)] + [round(rng.random() * 100, rng.randint(0, 4)) for _ in range(3000)]
+    values += [k * 5e-324 for k in range(1, 200)] + [2.0**k for k in range(-1074, 1024, 5)]
+    values += [-0.0, 0.0, 1e-4, 1e-5, 1e15, 1e16, 1e22, 1e23, 2e23, 9007199254740993.0, float("nan"), float("inf"), float("-inf")]
+    rows = spark.createDataFrame([(x,) for x in values], "x double").select("x", float_text(F.col("x")).alias("t")).collect()
+    assert [(r["x"], r["t"]) for r in rows if json.dumps(r["x"]) != r["t"]] == []
+    nested = spark.createDataFrame([([0.1, None, 1e300], {"b": 2.5, "a": -0.0})], "v array<double>, m map<string,double>")
+    text = nested.select(canonical_json(F.struct("v", "m"), nested.schema).alias("t")).first()["t"]
+    assert text == json.dumps({"v": [0.1, None, 1e300], "m": {"b": 2.5, "a": -0.0}}, sort_keys=True)
