@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
@@ -11,6 +13,7 @@ from ..functions.text import ngram_keys, tokenize
 from ..registry import analyzers
 
 Columns = Sequence[str]
+log = logging.getLogger(__name__)
 
 
 def _ratio(part: Column, whole: Column) -> Column:
@@ -27,8 +30,61 @@ def accuracy(results: DataFrame, by: Columns = ()) -> DataFrame:
     return sums.select(*by, overall, "correct_count", "total_count")
 
 
+@dataclass(frozen=True)
+class Partial:
+    """A metric as aggregates that combine before the shuffle, and what is made of them.
+
+    ``aggregates`` are named by the metric itself; ``finish`` makes its output columns of them.
+    """
+
+    aggregates: Mapping[str, Callable[[], Column]]
+    finish: Mapping[str, Callable[[], Column]]
+
+
+def _mean(value: Column) -> Column:
+    return F.coalesce(F.avg(value), F.lit(0.0))
+
+
 # Evaluation tools by name; a name that is not listed falls back to accuracy.
-TOOLS: dict[str, Callable[[DataFrame, Columns], DataFrame]] = {"Accuracy": accuracy}
+TOOLS: dict[str, Partial] = {
+    "Accuracy": Partial(
+        {"_correct": lambda: F.count_if(F.col("is_correct")), "_total": lambda: F.count(F.lit(1))},
+        {"overall": lambda: _ratio(F.col("_correct"), F.col("_total")), "correct_count": lambda: F.col("_correct"),
+         "total_count": lambda: F.col("_total")},
+    ),
+}
+
+
+def register_tool(name: str, tool: Partial) -> None:
+    if name in TOOLS:
+        raise ValueError(f"evaluation tool {name!r} is already registered")
+    TOOLS[name] = tool
+
+
+def _chosen(names: Sequence[str]) -> dict[str, Partial]:
+    out = {}
+    for name in names or ("Accuracy",):
+        if name not in TOOLS:
+            log.warning("evaluation tool %r is not registered; accuracy is used", name)
+        known = name if name in TOOLS else "Accuracy"
+        out[known] = TOOLS[known]
+    return out
+
+
+def _measure(results: DataFrame, tools: Sequence[Partial], by: Columns) -> DataFrame:
+    parts = {n: f for t in tools for n, f in t.aggregates.items()}
+    sums = results.groupBy(*by).agg(*[f().alias(n) for n, f in parts.items()])
+    outputs = {n: f for t in tools for n, f in t.finish.items()}
+    return sums.select(*by, *[f().alias(n) for n, f in outputs.items()])
+
+
+def measure(results: DataFrame, tools: Sequence[str] = ("Accuracy",), by: Columns = ()) -> DataFrame:
+    """A1-A3: the columns of all named tools, from one pass and one shuffle.
+
+    A name that is not registered is logged and stands for accuracy; each tool is used once,
+    and an aggregate that several tools name is computed once.
+    """
+    return _measure(results, list(_chosen(tools).values()), by)
 
 
 def analyze_single_choice(
@@ -40,24 +96,15 @@ def analyze_single_choice(
     rows there is nothing to analyse, which is reported in the same way.
     """
     names = [tools] if isinstance(tools, str) else list(tools)
-    # Accuracy is the only tool and also the fallback, so every list leads to it.
-    summary = F.lit(f"Calculated {names} metrics")
-    sums = results.groupBy(*by).agg(
-        F.count_if(F.col("is_correct")).alias("correct"),
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col("is_correct").isNull()).alias("unscored"),
-    )
-    usable = (F.col("unscored") == 0) & (F.col("total") > 0)
-    return sums.select(
-        *by,
-        F.when(usable, F.col("correct") / F.col("total")).alias("overall"),
-        F.when(usable, F.col("correct")).alias("correct_count"),
-        F.when(usable, F.col("total")).alias("total_count"),
-        F.when(F.col("total") == 0, F.lit("Skipped: no results"))
-        .when(F.col("unscored") > 0, F.lit("Skipped: rows without is_correct"))
-        .otherwise(summary)
-        .alias("summary"),
-    )
+    unscored = Partial({"_unscored": lambda: F.count_if(F.col("is_correct").isNull()), "_rows": lambda: F.count(F.lit(1))},
+                       {"_unscored": lambda: F.col("_unscored"), "_rows": lambda: F.col("_rows")})
+    made = _measure(results, [*_chosen(names).values(), unscored], by)
+    usable = (F.col("_unscored") == 0) & (F.col("_rows") > 0)
+    summary = (F.when(F.col("_rows") == 0, F.lit("Skipped: no results"))
+               .when(F.col("_unscored") > 0, F.lit("Skipped: rows without is_correct"))
+               .otherwise(F.lit(f"Calculated {names} metrics")))
+    values = [c for c in made.columns if c not in (*by, "_unscored", "_rows")]
+    return made.select(*by, *[F.when(usable, F.col(c)).alias(c) for c in values], summary.alias("summary"))
 
 
 @analyzers.register("single_choice")
@@ -78,23 +125,30 @@ def mutual_metrics(
     answer as the gold letter's own position.  Equal values are a hit even when
     they are not option letters.
     """
-    letters = F.array(*[F.lit(x) for x in "ABCD"])
-    pred_at = F.array_position(letters, F.col(predicted))
-    gold_at = F.array_position(letters, F.col(gold))
-    hit = F.col(predicted).eqNullSafe(F.col(gold))
-    near = (pred_at > 0) & (gold_at > 0) & (F.abs(pred_at - gold_at) <= 1)
-    rank = (
-        F.when(hit, 1.0).when(near, 0.5).when(gold_at > 0, F.lit(1.0) / gold_at).otherwise(0.0)
+    return _measure(results, [mutual(predicted, gold)], by)
+
+
+def mutual(predicted: str = "predicted_answer", gold: str = "correct_answer") -> Partial:
+    """A3 as a tool."""
+
+    def marks() -> tuple[Column, Column, Column]:
+        letters = F.array(*[F.lit(x) for x in "ABCD"])
+        pred_at = F.array_position(letters, F.col(predicted))
+        gold_at = F.array_position(letters, F.col(gold))
+        hit = F.col(predicted).eqNullSafe(F.col(gold))
+        near = (pred_at > 0) & (gold_at > 0) & (F.abs(pred_at - gold_at) <= 1)
+        rank = F.when(hit, 1.0).when(near, 0.5).when(gold_at > 0, F.lit(1.0) / gold_at).otherwise(0.0)
+        return hit, near, rank
+
+    return Partial(
+        {"_recall_1": lambda: _mean(F.when(marks()[0], 1.0).otherwise(0.0)),
+         "_recall_2": lambda: _mean(F.when(marks()[0] | marks()[1], 1.0).otherwise(0.0)),
+         "_mrr": lambda: _mean(marks()[2])},
+        {"recall_1": lambda: F.col("_recall_1"), "recall_2": lambda: F.col("_recall_2"), "mrr": lambda: F.col("_mrr")},
     )
 
-    def mean(value: Column) -> Column:
-        return F.coalesce(F.avg(value), F.lit(0.0))
 
-    return results.groupBy(*by).agg(
-        mean(F.when(hit, 1.0).otherwise(0.0)).alias("recall_1"),
-        mean(F.when(hit | near, 1.0).otherwise(0.0)).alias("recall_2"),
-        mean(rank).alias("mrr"),
-    )
+register_tool("Mutual", mutual())
 
 
 def distinct_n(

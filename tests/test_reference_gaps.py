@@ -164,3 +164,18 @@ def test_doubles_as_json_writers_print_them(spark):
     nested = spark.createDataFrame([([0.1, None, 1e300], {"b": 2.5, "a": -0.0})], "v array<double>, m map<string,double>")
     text = nested.select(canonical_json(F.struct("v", "m"), nested.schema).alias("t")).first()["t"]
     assert text == json.dumps({"v": [0.1, None, 1e300], "m": {"b": 2.5, "a": -0.0}}, sort_keys=True)
+
+
+def test_tools_share_one_aggregation(spark):
+    rows = [("m", "A", "A", True), ("m", "B", "A", False), ("n", "D", "A", False), ("n", None, "B", None)]
+    results = spark.createDataFrame(rows, "model string, predicted_answer string, correct_answer string, is_correct boolean")
+    both = metrics.measure(results, ["Accuracy", "Mutual", "nobody_knows"], ["model"])
+    assert both.columns == ["model", "overall", "correct_count", "total_count", "recall_1", "recall_2", "mrr"]
+    assert both._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    alone = {r["model"]: tuple(r)[1:] for r in metrics.mutual_metrics(results, ["model"]).collect()}
+    assert {r["model"]: tuple(r)[4:] for r in both.collect()} == alone
+    assert metrics.measure(results, ["nobody_knows"]).first()["total_count"] == 4
+    analysed = {r["model"]: r for r in metrics.analyze_single_choice(results, ["Accuracy", "Mutual"], ["model"]).collect()}
+    assert analysed["m"]["recall_2"] == 1.0 and analysed["n"]["mrr"] is None and "without" in analysed["n"]["summary"]
+    with pytest.raises(ValueError):
+        metrics.register_tool("Mutual", metrics.mutual())

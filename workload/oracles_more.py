@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracles import ORACLES, SCORES, SPACE, accuracy, strip
+from .oracles import ANSWERS, ORACLES, SCORES, SPACE, accuracy, strip
 
 _LINES = f"list_filter(list_transform(string_split(text, chr(10)), lambda x: {strip('x')}), lambda x: x <> '')"
 
@@ -86,4 +86,18 @@ ORACLES_MORE: dict[str, str] = {
         WITH t AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '[\\x{{4e00}}-\\x{{9fa5}}]|[\\p{{L}}\\p{{N}}]+|[^{SPACE}]') AS w
                    FROM pages)
         SELECT page_id, len(w) AS n, md5(array_to_string(w, ' ')) AS digest FROM t""",
+    "all_metrics": f"""
+        WITH {ANSWERS}, placed AS (
+          SELECT model, dataset, is_correct, predicted_answer,
+                 ascii(correct_answer) - 64 AS g, ascii(predicted_answer) - 64 AS p FROM results)
+        SELECT model, dataset, round(count(*) FILTER (is_correct) / count(*), 6) AS overall,
+               count(*) FILTER (is_correct) AS correct_count, count(*) AS total_count,
+               round(avg(CASE WHEN is_correct THEN 1.0 ELSE 0.0 END), 6) AS recall_1,
+               round(avg(CASE WHEN is_correct OR near THEN 1.0 ELSE 0.0 END), 6) AS recall_2,
+               round(avg(CASE WHEN is_correct THEN 1.0 WHEN near THEN 0.5 ELSE 1 / g END), 6) AS mrr
+        FROM (SELECT *, predicted_answer <> 'UNKNOWN' AND abs(g - p) <= 1 AS near FROM placed) GROUP BY model, dataset""",
+    "hashed_vectors": """
+        SELECT vec_id, sha256('{"embedding": [' || array_to_string(list_transform(embedding, lambda x: CAST(CAST(x AS DOUBLE) AS VARCHAR)), ', ')
+                              || '], "vec_id": ' || vec_id || '}') AS hash
+        FROM embeddings""",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gradeflow import sinks, sources
+from gradeflow.functions.canonical import canonical_json
 from gradeflow.functions.segmentation import dictionary_tokenizer
 from gradeflow.functions.text import tokenize
 from gradeflow.operators import metrics, rollup, sampling, scoring
@@ -180,3 +181,17 @@ def unclean_tokens(spark: SparkSession, sf: str) -> DataFrame:
     cut = dictionary_tokenizer({"的": 1.0})
     pages = texts(spark, sf, "pages", "page_id").select("page_id", cut(F.col("html")).alias("w"))
     return pages.select("page_id", F.size("w").cast("long").alias("n"), digest(F.array_join("w", " ")))
+
+
+@query
+def all_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Every registered tool over the same results in one aggregation; one name is unknown."""
+    found = metrics.measure(views.results(spark, sf), ["Accuracy", "Mutual", "unheard_of"], ["model", "dataset"])
+    return rounded(found, "overall", "recall_1", "recall_2", "mrr")
+
+
+@query
+def hashed_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Content hashes of records that hold doubles."""
+    rows = table(spark, sf, "embeddings").select("vec_id", F.struct("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).alias("r"))
+    return rows.select("vec_id", F.sha2(canonical_json(F.col("r"), rows.schema["r"].dataType), 256).alias("hash"))
