@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from .chars import LETTER, SPACE, WORD
+from .strict_json import parse_whole
 from .text import ascii_digits, bind, strip
 
 UNKNOWN = "UNKNOWN"
@@ -107,6 +108,7 @@ def extract_content(response: Column) -> Column:
         is_envelope = error.isNotNull() | choices.isNotNull()
         return F.when(is_envelope, F.when(failed, F.lit("")).otherwise(content)).otherwise(response)
 
-    parsed = F.from_json(strip(response), RESPONSE_SCHEMA, {"mode": "PERMISSIVE"})
+    # The whole text has to be the object: one with anything behind it is plain text.
+    parsed = parse_whole(strip(response), T.StructType.fromDDL(RESPONSE_SCHEMA))
     opened = F.when(strip(response).startswith("{"), bind(parsed, unpack)).otherwise(response)
     return F.coalesce(opened, F.lit(""))

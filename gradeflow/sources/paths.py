@@ -41,6 +41,8 @@ def resolve(
         if status.isDirectory():
             folders.add(full)
         elif full.endswith(f".{suffix}"):
+            if full.rsplit("/", 1)[1].startswith(("_", ".")):
+                log.warning("Spark reads no file with a hidden name: %s", raw)
             files.add(full)
         else:
             log.warning("not a .%s file: %s", suffix, raw)

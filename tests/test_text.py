@@ -100,8 +100,10 @@ def test_extract_content(spark):
         '{"error":null,"choices":[{"message":{"content":"ok"}}]}', '{"error":{"code":1},"choices":[]}',
         '{"choices":[]}', '{"choices":[{"message":{}}]}', "{not json", '{"other":1}',
         '{"error":"","choices":[{"message":{"content":"fine"}}]}',
+        '{"choices":[{"message":{"content":"hi"}}]} and more text', ' {"error":"e"}\n',
     ]
-    want = ["plain", "", "hi", "", "ok", "", "", "", "{not json", '{"other":1}', "fine"]
+    want = ["plain", "", "hi", "", "ok", "", "", "", "{not json", '{"other":1}', "fine",
+            '{"choices":[{"message":{"content":"hi"}}]} and more text', ""]
     assert apply(spark, values, answers.extract_content) == want
 
 
