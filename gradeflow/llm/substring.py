@@ -66,7 +66,8 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = found.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     # One row per document: where its shared anchors stand.
     places = written(found.join(shared.select("h"), "h", "left_semi").groupBy("doc_id")
-                     .agg(F.sort_array(F.collect_set("at")).alias("at")), "anchors")
+                     .agg(F.sort_array(F.collect_set("at")).alias("at"))
+                     .join(named.groupBy("doc_id").agg((F.count("*") > 1).alias("many")), "doc_id"), "anchors")
 
     def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in small_blocks(batches):
@@ -82,15 +83,18 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             doc, fits = _inside(firsts, len(values), window)
             at = np.flatnonzero(near[:len(a)] & fits[:len(a)])
             ids = block.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            # Where an id has several texts, a window is told by its value as well as by its place.
+            many = block.column("many").to_numpy(zero_copy_only=False).astype(bool)
+            mark = pa.array(a[at].view(np.int64), mask=~many[doc[at]])
             yield pa.RecordBatch.from_arrays(
-                [as_long(a[at]), as_long(b[at]), pa.array(ids[doc[at]]), pa.array((at - firsts[doc[at]]).astype(np.int32))],
-                ["a", "b", "doc_id", "at"])
+                [as_long(a[at]), as_long(b[at]), pa.array(ids[doc[at]]), pa.array((at - firsts[doc[at]]).astype(np.int32)), mark],
+                ["a", "b", "doc_id", "at", "mark"])
 
-    long = written(named.join(places, "doc_id").select("doc_id", "text", "at")
-                   .mapInArrow(windows, "a long, b long, doc_id long, at int"), "windows")
+    long = written(named.join(places, "doc_id").select("doc_id", "text", "at", "many")
+                   .mapInArrow(windows, "a long, b long, doc_id long, at int, mark long"), "windows")
     first = long.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     hits = (long.join(first, ["a", "b"]).where("doc_id > low").groupBy("doc_id")
-            .agg(F.sort_array(F.collect_set(F.struct("at", "a"))).alias("at")))
+            .agg(F.sort_array(F.collect_set(F.struct("at", "mark"))).alias("at")))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in small_blocks(batches):
@@ -98,15 +102,15 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             raw = buf.tobytes()
             hashes = window_hashes(values, window).view(np.int64)
             rows = []
-            for row, at in enumerate(block.column("at").to_pylist()):
+            for row, hits in enumerate(block.column("at")):
                 lo, hi = int(firsts[row]), int(firsts[row + 1])
                 gone = np.zeros(hi - lo + 1, np.int64)
-                if at:
-                    # A window of another text of the same id is not this one's.
-                    places = np.array([hit["at"] for hit in at])
-                    inside = places + window <= hi - lo
-                    same = hashes[places[inside] + lo] == np.array([hit["a"] for hit in at])[inside]
-                    places = places[inside][same]
+                if hits.is_valid:
+                    places, marks = (hits.values.field(c) for c in ("at", "mark"))
+                    places = places.to_numpy().astype(np.int64)
+                    if not marks.null_count:  # others may stand in another text of the same id
+                        fits = places + window <= hi - lo
+                        places = places[fits][hashes[places[fits] + lo] == marks.to_numpy()[fits]]
                     np.add.at(gone, places, 1)
                     np.add.at(gone, places + window, -1)
                 left = np.flatnonzero(np.cumsum(gone)[:-1] == 0) + lo
