@@ -75,23 +75,28 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
                         payload.alias("payload"))
     facts = rows.select("page_id", "url", F.sha1("payload").alias("sha"), F.sha2("payload", 256).alias("sha2"),
                         F.length("payload").cast("long").alias("size"), "payload")
-    groups = (facts.where(F.col("size") >= least).groupBy("sha", "sha2", "size")
-              .agg(F.max("page_id").alias("best"), F.count("*").alias("copies")).where("copies > 1")
-              .drop("copies"))
-    # Only ids and digests of copies meet the groups; payloads are joined by id and digest.
-    copies = (facts.drop("payload", "url").join(groups, ["sha", "sha2", "size"])
-              .groupBy("page_id", "sha", "sha2", "size").agg(F.max("best").alias("best"), F.count("*").alias("same"))
-              .toDF("own", "own_sha", "own_sha2", "own_size", "best", "same"))
-    decided = facts.join(copies, F.expr("page_id <=> own and sha = own_sha and sha2 = own_sha2 and size = own_size"),
-                         "left").withColumn("alone", F.expr("same is null"))
-    # Rows that repeat id and payload: the first of them is the response.
-    turn = F.expr("row_number() over (partition by page_id, sha, sha2, size order by url)")
-    repeated = decided.where("same > 1 and page_id <=> best").withColumn("turn", turn)
-    single = decided.where("not (coalesce(same, 0) > 1 and page_id <=> best)").withColumn("turn", F.lit(1))
-    kinds = single.unionByName(repeated).select(
-        "page_id", "url", "sha", "size",
-        F.expr("alone or (page_id <=> best and turn = 1)").alias("response"), "best", "payload").select(
-        "page_id", "url", "sha", "size", "response", F.expr("if(response, null, best)").alias("refers_to"),
+    # Types follow from ids and digests alone. What is decided is written, so that Spark knows its
+    # size: while it is small it is broadcast and payloads stay where they are, else they move once.
+    narrow = facts.where(F.col("size") >= least).drop("payload", "sha")
+    groups = (narrow.groupBy("sha2", "size").agg(F.max("page_id").alias("best"), F.count("*").alias("copies"))
+              .where("copies > 1").drop("copies"))
+    copies = written(narrow.join(groups, ["sha2", "size"]).groupBy("page_id", "sha2", "size")
+                     .agg(F.max("best").alias("best"), F.count("*").alias("same"),
+                          F.min(F.struct(F.col("url"))).alias("first"))
+                     .toDF("own", "own_sha2", "own_size", "best", "same", "first"), "warc-copies")
+    twice = "same > 1 and own <=> best"
+    meets = F.expr("page_id <=> own and sha2 = own_sha2 and size = own_size")
+    decided = (facts.join(copies, meets, "left").where(f"same is null or not ({twice})")
+               .withColumn("response", F.expr("same is null or page_id <=> best")))
+    # Rows that repeat id and payload: equal ones are counted before they move, and the first is the response.
+    repeated = (facts.join(written(copies.where(twice), "warc-repeated"), meets)
+                .groupBy("page_id", "url", "sha", "size", "best", F.col("url").eqNullSafe(F.col("first.url")).alias("lowest"))
+                .agg(F.any_value("payload").alias("payload"), F.count("*").alias("rows"))
+                .withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+                .withColumn("response", F.expr("lowest and turn = 1")))
+    wanted = ["page_id", "url", "sha", "size", "response", "best", "payload"]
+    kinds = decided.select(*wanted).unionByName(repeated.select(*wanted)).select(
+        *wanted[:5], F.expr("if(response, null, best)").alias("refers_to"),
         F.expr("if(response, payload, null)").alias("payload"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
