@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 SLOT_BITS = 28          # slots of the table, as a power of two: 32 MB as bits, at any input size
@@ -89,6 +91,15 @@ def repeated_slots(parts: DataFrame) -> np.ndarray:
     return table.reshape(-1)
 
 
+def shared_table(df: DataFrame, table: np.ndarray) -> Broadcast:
+    """The table for all tasks; packed, as it is sparse for small inputs."""
+    return df.sparkSession.sparkContext.broadcast(zlib.compress(table, 1))
+
+
+def table_of(shared: Broadcast) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(shared.value), np.uint8)
+
+
 def may_repeat(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     slots = _slot(hashes)
     return (table[slots >> np.uint64(3)] >> (np.uint64(7) - (slots & np.uint64(7))).astype(np.uint8)) & 1 > 0
