@@ -179,3 +179,12 @@ def test_tools_share_one_aggregation(spark):
     assert analysed["m"]["recall_2"] == 1.0 and analysed["n"]["mrr"] is None and "without" in analysed["n"]["summary"]
     with pytest.raises(ValueError):
         metrics.register_tool("Mutual", metrics.mutual())
+
+
+def test_sketches_of_parts(spark):
+    rows = [("a", 0, "one two three four"), ("a", 1, "two three four five"), ("b", 0, "one"), (None, 0, "x y z"), (None, 1, None)]
+    docs = spark.createDataFrame(rows, "lang string, part int, text string")
+    want = sorted(map(str, metrics.distinct_n(docs, "text", 3, ["lang"]).collect()))
+    parts = metrics.distinct_sketches(docs, "text", 3, ["lang", "part"])
+    assert sorted(map(str, metrics.distinct_united(parts, 3, ["lang"]).collect())) == want  # few values are counted exactly
+    assert metrics.distinct_united(metrics.distinct_sketches(docs.limit(0), "text", 3), 3).first().distinct_3 == 0.0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracles import ANSWERS, ORACLES, SCORES, SPACE, accuracy, strip
+from .oracles import ANSWERS, ORACLES, SCORES, SPACE, accuracy, distinct_n, strip
 
 _LINES = f"list_filter(list_transform(string_split(text, chr(10)), lambda x: {strip('x')}), lambda x: x <> '')"
 
@@ -28,6 +28,7 @@ def _level(n: int) -> str:
 
 
 ORACLES_MORE: dict[str, str] = {
+    "distinct_sketched": f"SELECT lang, distinct_ngrams, total_ngrams, TRUE AS close FROM ({distinct_n(3, 'lang')})",
     "csv_split": f"SELECT doc_id, lang, md5({strip('text')}) AS digest, TRUE AS in_order FROM documents",
     "csv_ragged": f"""
         WITH c AS (SELECT doc_id, {_LINES} AS c, len(string_split(text, chr(10))) + 1 AS width FROM documents)

@@ -9,7 +9,7 @@ from gradeflow.functions.canonical import canonical_json
 from gradeflow.functions.segmentation import dictionary_tokenizer
 from gradeflow.functions.text import tokenize
 from gradeflow.operators import metrics, rollup, sampling, scoring
-from gradeflow.storage import new_folder
+from gradeflow.storage import keep, new_folder
 from gradeflow.streaming import read_responses
 from gradeflow.streaming.latest import changes
 
@@ -195,3 +195,14 @@ def hashed_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Content hashes of records that hold doubles."""
     rows = table(spark, sf, "embeddings").select("vec_id", F.struct("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).alias("r"))
     return rows.select("vec_id", F.sha2(canonical_json(F.col("r"), rows.schema["r"].dataType), 256).alias("hash"))
+
+
+@query
+def distinct_sketched(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored sketches of four parts, united, next to the exact counts."""
+    docs = texts(spark, sf, "documents", "doc_id")
+    parts = keep(metrics.distinct_sketches(docs.withColumn("part", F.expr("pmod(doc_id, 4)")), "text", 3, ["lang", "part"]), "sketches")
+    guess = metrics.distinct_united(parts, 3, ["lang"]).select(F.col("lang").alias("of"), F.col("distinct_ngrams").alias("guess"))
+    exact = metrics.distinct_n(docs, "text", 3, ["lang"])
+    return exact.join(guess, exact.lang.eqNullSafe(guess.of)).select(
+        "lang", "distinct_ngrams", "total_ngrams", F.expr("abs(guess - distinct_ngrams) <= 0.02 * distinct_ngrams").alias("close"))
