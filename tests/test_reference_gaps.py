@@ -148,6 +148,51 @@ def test_a_file_sent_twice_changes_nothing(spark, tmp_path, keep_for):
     assert got == want
 
 
+def _scored(spark, folder, name, rows):
+    """A stream over scored rows, in files of their own that arrive one by one."""
+    kind = "item long, model string, site long, sent int, predicted_answer string, is_correct boolean"
+    spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").json(f"{folder}/{name}")
+    return spark.readStream.schema(kind).json(f"{folder}/{name}")
+
+
+def test_many_keys_share_few_states(spark, tmp_path):
+    big = 2**53 + 1  # beside a null, pandas would make it a double
+    rows = [(k, f"m{k % 2}", [None, big, big + 1][k % 3], s, "A", (k + s) % 2 == 0) for k in range(300) for s in (1, 2)]
+    found = changes(_scored(spark, tmp_path, "in", rows), ("item", "model"), ("model", "site"), buckets=5)
+    writer = found.writeStream.format("memory").queryName("few_states").option("checkpointLocation", f"{tmp_path}/state")
+    job = writer.trigger(availableNow=True).start()
+    job.awaitTermination(120)
+    assert sum(p["stateOperators"][0]["numRowsUpdated"] for p in job.recentProgress if p["stateOperators"]) <= 5
+    got = {(r["model"], r["site"]): (r["c"], r["t"]) for r in
+           spark.table("few_states").groupBy("model", "site").agg(F.sum("correct").alias("c"), F.sum("total").alias("t")).collect()}
+    want: dict = {}
+    for k in range(300):
+        at = f"m{k % 2}", [None, big, big + 1][k % 3]
+        c, t = want.get(at, (0, 0))
+        want[at] = c + (k % 2 == 0), t + 1
+    assert got == want
+
+
+def test_forgotten_keys_count_as_new(spark, tmp_path):
+    found = changes(_scored(spark, tmp_path, "in", [(1, "m", 0, 5, "A", True), (2, "m", 0, 5, "A", True)]), ("item", "model"), keep_for="2 seconds", buckets=1)
+    job = found.writeStream.format("memory").queryName("forgotten").option("checkpointLocation", f"{tmp_path}/state").start()
+
+    def total():
+        return spark.table("forgotten").agg(F.sum("total")).first()[0]
+
+    def wait_for(done):
+        until = time.time() + 60
+        while not done() and time.time() < until:
+            time.sleep(0.5)
+
+    wait_for(lambda: total() == 2)
+    wait_for(lambda: job.lastProgress["stateOperators"][0]["numRowsTotal"] == 0)
+    _scored(spark, tmp_path, "in", [(1, "m", 0, 1, "B", False)])
+    wait_for(lambda: total() == 3)
+    job.stop()
+    assert total() == 3
+
+
 def test_doubles_as_json_writers_print_them(spark):
     import struct
 
