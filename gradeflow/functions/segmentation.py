@@ -10,8 +10,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Mapping
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .text import word_lists
 
 # Runs that are written without spaces, and runs that are words as they stand.
 UNSPACED = "[一-龥]+"
@@ -116,10 +117,9 @@ def dictionary_tokenizer(words: DataFrame | Mapping[str, float], word: str = "wo
     shared = words.sparkSession.sparkContext.broadcast([(r["word"], r["cost"]) for r in rows])
     made: dict = {}
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(texts: pd.Series) -> pd.Series:
+    def cut(text: str) -> list[str]:
         if "dictionary" not in made:
             made["dictionary"] = Dictionary(shared.value)
-        return texts.map(lambda t: tokens_of(t, made["dictionary"], unspaced))
+        return tokens_of(text, made["dictionary"], unspaced)
 
-    return run
+    return word_lists(cut)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F, types as T
 
 from .chars import CJK, SPACE, WHITESPACE, WORD
@@ -54,16 +56,40 @@ def tokenize(col: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit(TOKEN_PATTERN), 0)
 
 
-def segmenter(cut: Callable[[str], Iterable[str]]) -> Callable[[Column], Column]:
-    """T2 hook: wrap ``cut(text) -> words`` as an Arrow function; blank words are dropped."""
+# Bytes of text whose words are held as Python objects at once; a longer text is held alone.
+SLICE = 1 << 18
+
+
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(texts):
+        done = int(ends[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, done + SLICE, "right")))
+        yield texts[start:end]
+        start = end
+
+
+def word_lists(cut: Callable[[str], list[str]]) -> Callable[[Column], Column]:
+    """``cut(text) -> words`` as an Arrow function; null counts as empty.
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [w for w in cut(t or "") if w.strip()])
+    Words are many times larger as Python objects than as text, so a batch is cut in small slices.
+    """
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for part in _slices(texts):
+                yield pa.array([cut(t or "") for t in part.to_pylist()], pa.list_(pa.string()))
 
     return run
 
 
+def segmenter(cut: Callable[[str], Iterable[str]]) -> Callable[[Column], Column]:
+    """T2 hook: wrap ``cut(text) -> words`` as an Arrow function; blank words are dropped."""
+    return word_lists(lambda t: [w for w in cut(t) if w.strip()])
+
+
 def preprocess(col: Column, stop_words: Iterable[str] = (), tokenizer=tokenize) -> Column:
     """Clean, tokenise and drop stop words.
 

@@ -68,3 +68,20 @@ def test_tokenizer_in_metrics(spark):
 def test_long_run():
     dictionary = Dictionary([("人", 10), ("人人", 15), (None, 99)])
     assert dictionary.cut("人" * 20_001) == ["人人"] * 10_000 + ["人"]
+
+
+def test_words_of_a_batch_are_not_held_together(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    cut = dictionary_tokenizer(WORDS)
+    texts = pa.array([None, "", *["a1 b2 " * 2000] * 400])
+    tracemalloc.start()
+    counts = [len(words) for part in cut.func(iter([texts])) for words in part]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counts == [0, 0, *[4000] * 400]
+    assert peak < 30_000_000  # one word takes about 60 bytes, all 1.6 million of them 90 MB
+    df = spark.createDataFrame([(i, "x " * (i * 5000 % 70_001)) for i in range(60)], "i int, t string").coalesce(1)
+    assert [r["n"] for r in df.select("i", F.size(cut(F.col("t"))).alias("n")).orderBy("i").collect()] == [i * 5000 % 70_001 for i in range(60)]
