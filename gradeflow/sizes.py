@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Up to this many rows, one per file or per split, a broadcast stays in the low hundreds
 # of megabytes.
@@ -20,6 +20,12 @@ def file_count(df: DataFrame) -> int:
     return len(df._jdf.inputFiles())
 
 
+def unsplit_bytes(spark: SparkSession) -> int:
+    """Files of up to this size are never split by a scan, whatever else it reads."""
+    as_bytes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    return min(as_bytes(spark.conf.get(f"spark.sql.files.{c}")) for c in ("maxPartitionBytes", "openCostInBytes"))
+
+
 def split_bound(df: DataFrame) -> int:
     """An upper bound on the splits of a file scan, by the rule Spark splits files with."""
     conf, java = df.sparkSession.conf, df.sparkSession.sparkContext._jvm

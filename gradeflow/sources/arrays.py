@@ -12,13 +12,14 @@ from __future__ import annotations
 import json
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..sizes import broadcast_if, file_count
+from ..sizes import broadcast_if, file_count, unsplit_bytes
 from ..storage import keep
 
 # Pieces of files end at closing braces, so records give short pieces.  A brace is never the
@@ -26,7 +27,7 @@ from ..storage import keep
 PIECE_END = "}"
 BLANK = b" \t\n\r"  # fixed values: white space between JSON tokens
 BATCH = 2048
-
+RUN = 1 << 18  # bytes that are looked at together; their places and depths take some sixty times that
 
 def scan_pieces(spark: SparkSession, roots: list[str], listing: dict[str, str]) -> DataFrame:
     pieces = spark.read.options(**listing, lineSep=PIECE_END).text(roots)
@@ -51,13 +52,38 @@ def structure(text: np.ndarray, inside: bool) -> tuple[np.ndarray, np.ndarray, i
     return strings, opens.astype(np.int64) - closes, int(count[-1]) if len(count) else 0
 
 
+def _runs(text: bytes) -> Iterator[bytes]:
+    """A text in parts of about ``RUN`` bytes; none ends in a backslash, so no escape crosses an end."""
+    start = 0
+    while len(text) - start > 2 * RUN:
+        end = start + RUN
+        while end < len(text) and text[end - 1] == 92:
+            end += 1
+        yield text[start:end]
+        start = end
+    yield text[start:] if start else text
+
+
+def _rows(batch: pa.RecordBatch, keys: Iterable[str], text: str) -> Iterator[list[tuple]]:
+    """The rows of a batch as Python values, by slices of about ``RUN`` bytes of text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        done = int(sizes[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(sizes, done + RUN, "right")))
+        part = batch.slice(start, end - start)
+        yield list(zip(*(part.column(c).to_pylist() for c in (*keys, text))))
+        start = end
+
+
 def _splits(batches: Iterable[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple, Iterator[bytes]]]:
     """Each split with its text in runs of pieces; every piece gets its end back."""
     def runs():
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in (*keys, "value")))
-            for key, group in groupby(rows, key=lambda r: r[:-1]):
-                yield key, b"".join(x for r in group for x in (r[-1], b"}"))
+            for rows in _rows(batch, keys, "value"):
+                for key, group in groupby(rows, key=lambda r: r[:-1]):
+                    for run in _runs(b"".join(x for r in group for x in (r[-1], b"}"))):
+                        yield key, run
 
     for key, group in groupby(runs(), key=lambda r: r[0]):
         yield key, (text for _, text in group)
@@ -183,14 +209,31 @@ def _sound(text: bytes, number: int, last: bool) -> bool:
         return False
 
 
+def _whole_file(texts: Iterator[bytes], size: int) -> Iterator[tuple | None]:
+    """As :func:`_cut` for a file that one task reads from its start; a single value is one element."""
+    head: list[bytes] = []
+    for raw in texts:
+        head.append(raw)
+        if shown := raw.lstrip(BLANK):
+            if shown[:1] == b"[":
+                yield from _cut(chain(head, texts), False, 0, 0, 0, size, False)
+                return
+            break
+    text = b"".join(chain(head, texts))
+    yield 0, text[:-1] if len(text) > size else text, True, True
+
+
 def elements(spark: SparkSession, roots: list[str], listing: dict[str, str]) -> DataFrame:
     """``_file``, ``_number`` and ``text`` of the elements of arrays, or of whole single documents.
 
     A malformed file gives none.  A document that is not an array is one element, of one task.
-    The starts have a row per split of 128 MB and are broadcast: 100 TB are under a million.
+    Files too small to be split are read once.  The starts of the others have a row per split of
+    128 MB and are broadcast: 100 TB are under a million.
     """
     pieces = scan_pieces(spark, roots, listing)
-    starts = keep(offsets(summaries(pieces)), "json-starts")
+    small = F.col("_size") <= unsplit_bytes(spark)
+    large = pieces.where(~small)
+    starts = keep(offsets(summaries(large)), "json-starts")
     schema = "_file string, _number long, _block long, text string, _last boolean, _bad boolean"
     names = [c.split()[0] for c in schema.split(", ")]
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.bool_()]
@@ -198,14 +241,27 @@ def elements(spark: SparkSession, roots: list[str], listing: dict[str, str]) ->
 
     def batched(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        size = 0
         for row in rows:
             held.append(row)
-            if len(held) == BATCH:
+            size += len(row[3] or b"")
+            if len(held) == BATCH or size > RUN:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)], names)
-                held = []
+                held, size = [], 0
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)], names)
 
+    def checked(file: str, block: int, found: Iterable[tuple | None]) -> Iterator[tuple]:
+        for element in found:
+            if element is None:
+                yield file, None, block, None, False, True
+                continue
+            at, text, whole, last = element
+            if whole:
+                yield file, at, None, text, last, not _sound(text, at, last)
+            else:
+                yield file, at, block, text, last, False
+
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for (file, block, size, inside, depth, number, before, begun, is_array), texts in _splits(
@@ -214,27 +270,20 @@ def elements(spark: SparkSession, roots: list[str], listing: dict[str, str]) ->
                     whole = b"".join(texts)
                     yield file, 0, block, whole[:-1] if before + len(whole) > size else whole, True, False
                     continue
-                for found in _cut(texts, inside, depth, number, before, size, begun):
-                    if found is None:
-                        yield file, None, block, None, False, True
-                        continue
-                    at, text, whole, last = found
-                    if whole:
-                        yield file, at, None, text, last, not _sound(text, at, last)
-                    else:
-                        yield file, at, block, text, last, False
+                yield from checked(file, block, _cut(texts, inside, depth, number, before, size, begun))
 
         return batched(rows())
 
-    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for batch in batches:
-                for file, number, last, text in zip(*(batch.column(c).to_pylist() for c in ("_file", "_number", "_last", "text"))):
-                    yield file, number, None, text, last, not _sound(text, number, last)
+    def cut_files(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batched(row for (file, block, size), texts in _splits(batches, "_file", "_block", "_size")
+                       for row in checked(file, block, _whole_file(texts, size)))
 
-        return batched(rows())
+    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batched((file, number, None, text, last, not _sound(text, number, last)) for batch in batches
+                       for part in _rows(batch, ("_file", "_number", "_last"), "text") for file, number, last, text in part)
 
-    found = keep(pieces.join(F.broadcast(starts), ["_file", "_block"]).mapInArrow(cut, schema), "json-elements")
+    split = large.join(F.broadcast(starts), ["_file", "_block"]).mapInArrow(cut, schema)
+    found = keep(split.union(pieces.where(small).mapInArrow(cut_files, schema)), "json-elements")
     parts = found.where(F.col("_block").isNotNull() & ~F.col("_bad")).groupBy("_file", "_number").agg(
         F.max("_last").alias("_last"), F.sort_array(F.collect_list(F.struct("_block", "text"))).alias("parts"))
     text = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["text"]))

@@ -103,6 +103,46 @@ def test_json_is_what_one_reader_gives(tiny_splits, tmp_path):
     assert sorted((r["_source_file"].rsplit("/", 1)[1], r["_row_index"], r["q"]) for r in rows) == sorted(want)
 
 
+def test_small_json_files_are_read_once(spark, tmp_path, monkeypatch):
+    bodies = ['[{"q": "a"}, {"q": "[,]"}]', ' {"q": "b"} ', '[{"q": "c"}', '[{"q": "d"}]]', '"[', "[]", " \n", "", '[{"q": "e"}] ', '{"q": "f"}{}', "[1, ]"]
+    for k, body in enumerate(bodies):
+        with open(f"{tmp_path}/{k}.json", "w") as out:
+            out.write(body)
+    scans = []
+    monkeypatch.setattr(arrays, "summaries", lambda pieces, real=arrays.summaries: scans.append(pieces) or real(pieces))
+    rows = sources.read_json(spark, str(tmp_path), "q string").filter("q is not null").collect()
+    assert sorted((r["_source_file"].rsplit("/", 1)[1], r["_row_index"], r["q"]) for r in rows) == [
+        ("0.json", 0, "a"), ("0.json", 1, "[,]"), ("1.json", 0, "b"), ("8.json", 0, "e")]
+    assert [s.rdd.getNumPartitions() for s in scans] == [0]
+
+
+def test_a_large_batch_of_json_is_looked_at_in_short_runs(spark, tmp_path):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    want = [{"q": "\\" * (k % 3) * 70_001 + '"[,' + "x" * k, "n": k} for k in range(1, 2000, 100)]
+    text = json.dumps(want).encode() + b" " * (3 * arrays.RUN)
+    pieces = text.split(b"}")[:-1]
+    batch = pa.RecordBatch.from_arrays([pa.array(["f"] * len(pieces)), pa.array(pieces, pa.binary())], ["_file", "value"])
+    whole = pa.RecordBatch.from_arrays([pa.array(["f"]), pa.array([text[:-1]], pa.binary())], ["_file", "value"])
+    for given, end in ((batch, b""), (whole, b"}")):
+        (key, runs), = [(k, list(r)) for k, r in arrays._splits([given], "_file")]
+        assert key == ("f",) and max(map(len, runs)) <= 2 * arrays.RUN + 70_001
+        assert b"".join(runs) == (text[:-1] + end if end else b"".join(p + b"}" for p in pieces))
+    found = list(arrays._whole_file(arrays._runs(text), len(text)))
+    assert [json.loads(x[1]) for x in found] == want
+
+    many = pa.RecordBatch.from_arrays([pa.array(["f"] * 8000), pa.array([0] * 8000), pa.array([1 << 40] * 8000),
+                                       pa.array([b',{"q": "' + b"x" * 2000 + b'"'] * 8000, pa.binary())], ["_file", "_block", "_size", "value"])
+    tracemalloc.start()
+    count = sum(levels.sum() for _, texts in arrays._splits([many], "_file", "_block", "_size")
+                for _, levels, _ in (arrays.structure(arrays.np.frombuffer(t, "uint8"), False) for t in texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count == 0 and peak < 60_000_000  # the batch holds 16 MB, its places and depths hundreds
+
+
 def test_structure_of_strings_and_escapes():
     import numpy as np
 
