@@ -21,7 +21,7 @@ NOISE_PATTERN = rf"{LINK_PATTERN}|[^{CJK}a-zA-Z]"
 # A token is a run of ASCII letters or one CJK character.
 TOKEN_PATTERN = rf"[a-zA-Z]+|[{CJK}]"
 
-_SEP = "\x1f"
+SEPARATOR = "\x1f"  # fixed value: between the words of an n-gram
 
 
 def strip(col: Column) -> Column:
@@ -141,7 +141,7 @@ def ngram_keys(tokens: Column, n: int, plain: bool = True) -> Column:
     def slide(t: Column) -> Column:
         keys = F.transform(
             F.sequence(F.lit(0), F.size(t) - n),
-            lambda i: F.concat_ws(_SEP, *[piece(F.get(t, i + k)) for k in range(n)]),
+            lambda i: F.concat_ws(SEPARATOR, *[piece(F.get(t, i + k)) for k in range(n)]),
         )
         return F.when(F.size(t) >= n, keys).otherwise(F.array().cast("array<string>"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..functions.text import ngram_keys, tokenize
 from ..registry import analyzers
+from .grams import gram_counts, spread_grams
 
 Columns = Sequence[str]
 log = logging.getLogger(__name__)
@@ -162,19 +163,19 @@ def distinct_n(
 ) -> DataFrame:
     """A4: different n-grams over all n-grams, across all texts of a group.
 
-    N-grams are first counted per (group, n-gram): tasks combine repeats before the
+    N-grams are first counted per (group, n-gram): blocks combine repeats before the
     shuffle, and a group holding most of the corpus is spread over its n-grams.  The
     second step only adds up counts.  A group without any n-gram scores 0.
     """
     tokens = df.select(*by, tokenizer(F.col(text)).alias("_tokens"))
-    grams = tokens.select(*by, F.explode_outer(ngram_keys(F.col("_tokens"), n, plain)).alias("_gram"))
+    grams = gram_counts(tokens, n, by, plain)
     if approximate:
         sums = grams.groupBy(*by).agg(
             F.approx_count_distinct("_gram").alias("distinct_ngrams"),
-            F.count("_gram").alias("total_ngrams"),
+            F.sum("_n").alias("total_ngrams"),
         )
     else:
-        counts = grams.groupBy(*by, "_gram").agg(F.count("_gram").alias("_n"))
+        counts = spread_grams(grams, df).groupBy("_gram", *by).agg(F.sum("_n").alias("_n"))
         sums = counts.groupBy(*by).agg(
             F.count("_gram").alias("distinct_ngrams"), F.sum("_n").alias("total_ngrams")
         )
@@ -192,8 +193,9 @@ def distinct_sketches(df: DataFrame, text: str, n: int, by: Columns = (), tokeni
     A part's sketches are stored once; a new part only reads its own texts.  The relative error
     is about 0.8 / 2 ** (precision / 2), a sketch takes up to 2 ** precision bytes.
     """
-    grams = df.select(*by, F.explode_outer(ngram_keys(tokenizer(F.col(text)), n, plain)).alias("_gram"))
-    return grams.groupBy(*by).agg(F.hll_sketch_agg("_gram", precision).alias("sketch"), F.count("_gram").alias("total_ngrams"))
+    grams = gram_counts(df.select(*by, tokenizer(F.col(text)).alias("_tokens")), n, by, plain)
+    return grams.groupBy(*by).agg(F.hll_sketch_agg("_gram", precision).alias("sketch"),
+                                  F.coalesce(F.sum("_n"), F.lit(0)).alias("total_ngrams"))
 
 
 def distinct_united(parts: DataFrame, n: int, by: Columns = ()) -> DataFrame:
