@@ -6,11 +6,13 @@ import hashlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from .common import small_blocks, written
+from .slots import GATHERED, gathered, may_repeat, repeated_slots, shared_table, table_of
 
 # A group below either bound is finished inside one task; a larger one is split by more bytes.
 LEAF_ROWS = 50_000
@@ -53,7 +55,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``kept`` and ``text_sha256`` (of the lower-cased text). Null text is empty text. Of rows that
     repeat the same id and text exactly one is kept. An empty table gives an empty result.
 
-    Each block of rows is first grouped where it was read, so a text that fills a third of the
+    Texts that stand once are mostly told by a table of hash slots of a fixed size, which keeps all
+    that repeat, and are neither stored nor shuffled. Each block of the others is first grouped
+    where it was read, so a text that fills a third of the
     table is shuffled once a block. Groups too large for a task are split across the cluster by
     more and more leading bytes; texts that have ended while their group is still too large are
     equal and are only aggregated.
@@ -82,42 +86,60 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         groups = groups.unionByName(more)
     ours = ["keep_id", "group_size", "kept", "text_sha256"]
     named = [c for c in docs.columns if c.lower() not in ours]
-    out = marked.drop("_radix_text", "_radix_copies", "_radix_order").join(groups, "_radix_rep")
+    own = [F.col(f"_radix_in.`{c}`").alias(c) for c in named]
+    sha = F.col("_radix_sha").alias("text_sha256")
+    alone = marked.where("_radix_alone").select(
+        *own, F.col("_radix_order.id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha)
+    out = marked.where("not _radix_alone").drop("_radix_text", "_radix_copies", "_radix_order").join(groups, "_radix_rep")
     return out.select(
-        *[F.col(f"_radix_in.`{c}`").alias(c) for c in named],
-        F.col("_radix_keep_id").alias("keep_id"), F.col("_radix_size").alias("group_size"),
-        (F.col("_radix_row") == F.col("_radix_keep_row")).alias("kept"),
-        F.col("_radix_sha").alias("text_sha256"))
+        *own, F.col("_radix_keep_id").alias("keep_id"), F.col("_radix_size").alias("group_size"),
+        (F.col("_radix_row") == F.col("_radix_keep_row")).alias("kept"), sha).unionByName(alone)
+
+
+def _lowered(block: pa.RecordBatch) -> list[bytes]:
+    return [t.lower() for t in block.column("_radix_source").cast(pa.large_binary()).to_pylist()]
+
+
+def _hashes(digests: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(d[:8] for d in digests), np.uint64)
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Every row with the row that stands for it in its block; only that one carries the text."""
+    """Every row with the row that stands for it in its block; only that one carries the text, if it may stand elsewhere."""
     rows = docs.select(
         F.monotonically_increasing_id().alias("_radix_row"), F.col(id_col).cast("long").alias("_radix_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_radix_source"),
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_radix_in"))
     schema = StructType.fromDDL("_radix_row long, _radix_order struct<id: long, row: long>, _radix_rep long, "
-                                "_radix_copies long, _radix_sha string, _radix_text binary").add(rows.schema["_radix_in"])
+                                "_radix_copies long, _radix_sha string, _radix_alone boolean, _radix_text binary").add(rows.schema["_radix_in"])
+
+    def text_slots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from gathered(_hashes([hashlib.sha256(t).digest() for t in _lowered(block)])
+                            for block in small_blocks(batches, "_radix_source", 8 << 20))
+
+    several = shared_table(docs, repeated_slots(rows.select("_radix_source").mapInArrow(text_slots, GATHERED)))
 
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = table_of(several)
         for block in small_blocks(batches, "_radix_source", 8 << 20):
-            texts = [t.lower() for t in block.column("_radix_source").cast(pa.large_binary()).to_pylist()]
+            texts = _lowered(block)
             numbers = block.column("_radix_row").to_pylist()
             ids = block.column("_radix_id").to_pylist()
             n = len(texts)
-            rep, copies, sha, kept = [0] * n, [0] * n, [""] * n, [None] * n
-            for group in radix_groups(texts):
+            rep, copies, sha, kept, alone = [0] * n, [0] * n, [""] * n, [None] * n, [False] * n
+            groups = radix_groups(texts)
+            digests = [hashlib.sha256(texts[group[0]]).digest() for group in groups]
+            for group, digest, more in zip(groups, digests, may_repeat(table, _hashes(digests)).tolist()):
                 best = max(group, key=lambda i: (ids[i] is not None, ids[i] or 0, numbers[i]))
-                digest = hashlib.sha256(texts[best]).hexdigest()
-                copies[best], kept[best] = len(group), texts[best]
+                copies[best], kept[best] = len(group), texts[best] if more else None
                 for i in group:
-                    rep[i], sha[i] = numbers[best], digest
+                    rep[i], sha[i], alone[i] = numbers[best], digest.hex(), not more
             order = [{"id": a, "row": b} for a, b in zip(ids, numbers)]
             yield pa.RecordBatch.from_arrays(
                 [block.column("_radix_row"), pa.array(order, pa.struct([("id", pa.int64()), ("row", pa.int64())])),
                  pa.array(rep, pa.int64()), pa.array(copies, pa.int64()), pa.array(sha, pa.string()),
-                 pa.array(kept, pa.binary()), block.column("_radix_in")],
-                ["_radix_row", "_radix_order", "_radix_rep", "_radix_copies", "_radix_sha", "_radix_text", "_radix_in"])
+                 pa.array(alone), pa.array(kept, pa.binary()), block.column("_radix_in")],
+                ["_radix_row", "_radix_order", "_radix_rep", "_radix_copies", "_radix_sha", "_radix_alone", "_radix_text", "_radix_in"])
 
     return rows.mapInArrow(mark, schema)
 
