@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from .common import small_blocks, written
-from .slots import GATHERED, gathered, may_repeat, repeated_slots, shared_table, table_of
+from .slots import GATHERED, gathered, may_repeat, packed_slots, shared_table, table_of
 
 # A group below either bound is finished inside one task; a larger one is split by more bytes.
 LEAF_ROWS = 50_000
@@ -117,7 +117,7 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         yield from gathered(_hashes([hashlib.sha256(t).digest() for t in _lowered(block)])
                             for block in small_blocks(batches, "_radix_source", 8 << 20))
 
-    several = shared_table(docs, repeated_slots(rows.select("_radix_source").mapInArrow(text_slots, GATHERED)))
+    several = shared_table(docs, packed_slots(rows.select("_radix_source").mapInArrow(text_slots, GATHERED)))
 
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = table_of(several)

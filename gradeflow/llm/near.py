@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import (as_long, byte_table, components, flat_bytes, mix, plain, small_blocks, window_hashes,
                      word_bounds, word_hashes, written)
-from .slots import GATHERED, gathered, may_repeat, repeated_slots, shared_table, table_of
+from .slots import GATHERED, gathered, may_repeat, packed_slots, shared_table, table_of
 
 SHINGLE = 5
 PERCENT = 75   # of the union that two documents must share
@@ -117,7 +117,7 @@ def _slots_of(ids: DataFrame) -> Broadcast:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from gathered(np.repeat(_id_hashes(batch.column(0)), 2) for batch in batches if batch.num_rows)
 
-    return shared_table(ids, repeated_slots(ids.mapInArrow(run, GATHERED)))
+    return shared_table(ids, packed_slots(ids.mapInArrow(run, GATHERED)))
 
 
 def _asked(batches: Iterable[pa.RecordBatch], slots: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -131,7 +131,7 @@ def _met(classes: DataFrame) -> DataFrame:
     def node_slots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from gathered(batch.column("nodes").flatten().to_numpy().view(np.uint64) for batch in batches if batch.num_rows)
 
-    several = shared_table(classes, repeated_slots(classes.select("nodes").mapInArrow(node_slots, GATHERED)))
+    several = shared_table(classes, packed_slots(classes.select("nodes").mapInArrow(node_slots, GATHERED)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = table_of(several)

@@ -56,20 +56,21 @@ def gathered(hashes: Iterable[np.ndarray]) -> Iterator[pa.RecordBatch]:
 GATHERED = "block int, seen binary, often binary"
 
 
-def repeated_slots(parts: DataFrame) -> np.ndarray:
-    """The table as bits, from the rows of :func:`gathered` of all tasks.
+def packed_slots(parts: DataFrame) -> dict[int, bytes]:
+    """The table as packed bits of each block, from the rows of :func:`gathered` of all tasks.
 
     A hash that stands more than once always finds its bit set; one that stands once finds it
     set as often as slots are shared. The table has 2 ** SLOT_BITS bits whatever the input, and
     a row of the merge is 2 ** LOW_BITS slots, so neither a task nor the driver holds more for
-    more input; a frequent hash comes once from each task.
+    more input; a frequent hash comes once from each task. Blocks are packed where they are merged,
+    and the driver passes them on as they are: a sparse table is small there.
     """
     def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, counts = None, np.zeros(1 << LOW_BITS, np.uint8)
 
         def bits() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(counts > 1).tobytes()], pa.binary())],
-                                              ["block", "bits"])
+            packed = [zlib.compress(np.packbits(counts > 1), 1)] if counts.max() > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([at] * len(packed), pa.int32()), pa.array(packed, pa.binary())], ["block", "bits"])
 
         for batch in batches:
             for block, seen, often in zip(*(batch.column(c).to_pylist() for c in ("block", "seen", "often"))):
@@ -85,19 +86,28 @@ def repeated_slots(parts: DataFrame) -> np.ndarray:
             yield bits()
 
     found = parts.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, bits binary").toArrow()
+    return dict(zip(found.column("block").to_pylist(), found.column("bits").to_pylist()))
+
+
+def _unpacked(packed: dict[int, bytes]) -> np.ndarray:
     table = np.zeros((1 << (SLOT_BITS - LOW_BITS), 1 << (LOW_BITS - 3)), np.uint8)
-    for block, row in zip(found.column("block").to_pylist(), found.column("bits").to_pylist()):
-        table[block] = np.frombuffer(row, np.uint8)
+    for block, bits in packed.items():
+        table[block] = np.frombuffer(zlib.decompress(bits), np.uint8)
     return table.reshape(-1)
 
 
-def shared_table(df: DataFrame, table: np.ndarray) -> Broadcast:
-    """The table for all tasks; packed, as it is sparse for small inputs."""
-    return df.sparkSession.sparkContext.broadcast(zlib.compress(table, 1))
+def repeated_slots(parts: DataFrame) -> np.ndarray:
+    """The table as bits."""
+    return _unpacked(packed_slots(parts))
+
+
+def shared_table(df: DataFrame, packed: dict[int, bytes]) -> Broadcast:
+    """The table of :func:`packed_slots` for all tasks."""
+    return df.sparkSession.sparkContext.broadcast(packed)
 
 
 def table_of(shared: Broadcast) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(shared.value), np.uint8)
+    return _unpacked(shared.value)
 
 
 def may_repeat(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:

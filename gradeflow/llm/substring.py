@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import as_long, flat_bytes, plain, small_blocks, window_hashes, word_bounds, word_hashes, written
-from .slots import GATHERED, gathered, may_repeat, repeated_slots, shared_table, table_of
+from .slots import GATHERED, gathered, may_repeat, packed_slots, shared_table, table_of
 
 WINDOW = 50
 PERIOD = 31
@@ -101,7 +101,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def anchor_slots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from gathered(hashes for *_, hashes in anchors(batches))
 
-    several = shared_table(docs, repeated_slots(named.mapInArrow(anchor_slots, GATHERED)))
+    several = shared_table(docs, packed_slots(named.mapInArrow(anchor_slots, GATHERED)))
 
     def repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = table_of(several)
@@ -140,7 +140,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def window_slots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from gathered(a for *_, a, _ in windows(batches))
 
-    both = shared_table(docs, repeated_slots(around.mapInArrow(window_slots, GATHERED)))
+    both = shared_table(docs, packed_slots(around.mapInArrow(window_slots, GATHERED)))
 
     def compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = table_of(both)

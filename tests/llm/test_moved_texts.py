@@ -55,3 +55,20 @@ def test_parities_bound_the_tokens_that_differ():
             differ = len(np.setxor1d(a, b))
             assert np.bitwise_count((bits[i] ^ bits[j]).view(np.uint64)).sum() <= differ
     assert np.bitwise_count((bits[2] ^ bits[6]).view(np.uint64)).sum() > 150
+
+
+def test_few_bytes_come_to_the_driver(spark, monkeypatch):
+    """The table of slots comes packed: a sparse one is far smaller than its 32 MB."""
+    rng = random.Random(4)
+    base = [words(rng, 30) for _ in range(200)]
+    docs = spark.createDataFrame([(2 * i + k, " ".join(b[:30 - k])) for i, b in enumerate(base) for k in range(2)], "doc_id long, text string")
+    sizes, arrow = [], type(docs).toArrow
+
+    def to_arrow(df):
+        out = arrow(df)
+        sizes.append(out.nbytes)
+        return out
+
+    monkeypatch.setattr(type(docs), "toArrow", to_arrow)
+    assert near.near_duplicates(docs).where("kept").count() == 200
+    assert sizes and max(sizes) < 2 << 20
